@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,3 +31,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """Compute once and cut the lineage, in the shared folder: a lost executor costs nothing."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+#: Rows of one or two longs that may be broadcast: 16 MB at most.
+SLIM_ROWS = 1_000_000
+
+
+def slim(df: DataFrame) -> DataFrame:
+    """df, a checkpointed table of one or two longs, with a broadcast hint if a count proves it small; beyond that it is joined by a shuffle."""
+    return F.broadcast(df) if df.count() <= SLIM_ROWS else df
