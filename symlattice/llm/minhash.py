@@ -9,12 +9,11 @@ and one sketch stands for it, so copies cost nothing further.
 Registers are banded, six to a band. In each bucket of a band, every class is
 paired with the bucket's hub, the class that shares most buckets with others
 (for a group of near copies, their original); hubs link most of a group at
-once. Afterwards every pair of a bucket whose ends are still in different
-components is tried as well, so no pair that shares a band stays untested
-unless its ends are linked already. The chance that a pair at the threshold
-shares none of the 42 bands is about 2e-9. Candidates pass the collision-corrected
-estimate of their Jaccard similarity, with a margin of five standard
-deviations, and are then confirmed on the full sets.
+once. Afterwards the pairs whose ends are still in different components are
+tried as well if they share three bands (one, for small sets). A pair at the
+threshold misses that with a chance of about 8e-7. Candidates pass the
+collision-corrected estimate of their Jaccard similarity, with a margin of five
+standard deviations, and are then confirmed on the full sets.
 
 Null texts and texts without words have an empty set and link with nothing. A
 null id links with nothing and stays. Rows that share an id count as one
@@ -29,11 +28,11 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from symlattice.operators.fixpoint import components
-from symlattice.session import checkpoint
+from symlattice.session import checkpoint, slim
 
 WORDS = 5
 REGISTER_BITS = 8
@@ -41,6 +40,8 @@ REGISTERS = 1 << REGISTER_BITS
 MANTISSA = 10
 BAND = 6
 BANDS = REGISTERS // BAND
+#: Bands that a pair of sets of FEW shingles or more has to share; at similarity 0.85 it shares 16 of 42 on average, and less than 3 once in a million.
+MET, FEW = 3, 48
 #: Bytes of text that are hashed together.
 PIECE = 1 << 22
 _SPACE = np.zeros(256, dtype=bool)
@@ -231,8 +232,8 @@ class NearDuplicates:
         bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.struct(b.alias("band"), F.substring(F.col("regs"), b * width + 1, F.lit(width)).alias("part")))
         full = F.filter(bands, lambda x: x["part"] != F.lit(bytes(width)))
         every = self.classes.select("rep", "n", F.explode(F.transform(full, lambda x: F.xxhash64(x["band"], x["part"]))).alias("key"))
-        shared = every.groupBy("key").count().filter("count > 1").select("key", "count")
-        return every.join(shared, "key")
+        shared = checkpoint(every.groupBy("key").count().filter("count > 1"))
+        return every.join(slim(shared), "key")
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of classes whose full sets are as similar as asked."""
@@ -240,8 +241,8 @@ class NearDuplicates:
         left, right = (by_id.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("regs").alias(f"regs_{x}")) for x in "ab")
         likely = pairs.join(left, "a").join(right, "b").select("a", "b", "regs_a", "regs_b", "n_a", "n_b")
         likely = checkpoint(likely.mapInArrow(_plausible(self.percent / 100), "a long, b long").distinct())
-        ids = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        sets = checkpoint(self.docs.join(ids, "id", "left_semi").mapInArrow(_sets, "id long, hashes array<long>").dropDuplicates(["id", "hashes"]))
+        ids = checkpoint(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+        sets = checkpoint(self.docs.join(slim(ids), "id", "left_semi").mapInArrow(_sets, "id long, hashes array<long>").dropDuplicates(["id", "hashes"]))
         full = likely.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("set_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("set_b")), "b")
         common = F.size(F.array_intersect("set_a", "set_b"))
         full = full.withColumns({"common": common, "total": F.size("set_a") + F.size("set_b") - common})
@@ -252,6 +253,17 @@ class NearDuplicates:
         several = self.rows.filter("n > 0").select("id", "n", "f0", "f1").distinct().groupBy("id").count().filter("count > 1").select("id")
         return self.rows.join(several, "id").join(self.classes, ["n", "f0", "f1"]).filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct()
 
+    def met_often(self, rest: DataFrame) -> DataFrame:
+        """Pairs (a, b) in different components, of fitting sizes, that share the buckets that similar sets would."""
+        x, y = (rest.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "component"))) for s in "xy")
+        fits = (F.col("rep_x") < F.col("rep_y")) & (F.col("component_x") != F.col("component_y")) & self.near(F.col("n_x"), F.col("n_y"))
+        pairs = x.join(y, "key").filter(fits).groupBy(F.col("rep_x").alias("a"), F.col("rep_y").alias("b")).agg(F.count("*").alias("bands"), F.min(F.least("n_x", "n_y")).alias("n"))
+        return pairs.filter((F.col("bands") >= MET) | (F.col("n") < FEW)).select("a", "b")
+
+    def near(self, n: Column, m: Column) -> Column:
+        """Sets of sizes so unequal can't be similar enough."""
+        return F.least(n, m) * 100 >= F.greatest(n, m) * self.percent
+
     def linked(self) -> DataFrame:
         """(rep, component) of every class that has a link."""
         keys = checkpoint(self.buckets())
@@ -259,18 +271,15 @@ class NearDuplicates:
         met = keys.groupBy("rep").agg(F.sum("count").alias("met"))
         hubs = keys.join(met, "rep").groupBy("key").agg(F.max(F.struct("met", -F.col("rep"))).alias("hub")).select("key", (-F.col("hub.col2")).alias("hub"))
         sizes = keys.select("rep", "n").distinct()
-        near = lambda n, m: (F.least(n, m) * 100 >= F.greatest(n, m) * self.percent)
         pairs = keys.join(hubs, "key").filter("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-        tried = checkpoint(pairs.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b").filter(near(F.col("na"), F.col("nb"))).select("a", "b").distinct())
+        tried = checkpoint(pairs.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b").filter(self.near(F.col("na"), F.col("nb"))).select("a", "b").distinct())
         links = self.confirmed(tried).unionByName(self.shared_ids())
         parts = components(links)
         # whoever shares a bucket and isn't linked yet is tried as well
         where = keys.join(parts.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         mixed = where.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most").select("key")
         rest = checkpoint(where.join(mixed, "key").select("key", "rep", "n", "component"))
-        x, y = (rest.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "component"))) for s in "xy")
-        more = x.join(y, "key").filter((F.col("rep_x") < F.col("rep_y")) & (F.col("component_x") != F.col("component_y")) & near(F.col("n_x"), F.col("n_y"))).select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b")).distinct()
-        more = checkpoint(more.join(tried, ["a", "b"], "left_anti"))
+        more = checkpoint(self.met_often(rest).join(tried, ["a", "b"], "left_anti"))
         if more.isEmpty():
             return parts.withColumnRenamed("id", "rep")
         return components(links.unionByName(self.confirmed(more))).withColumnRenamed("id", "rep")
@@ -286,5 +295,6 @@ def near_dedup(documents: DataFrame, percent: int = 85, id_col: str = "doc_id",
 
 
 def misses(similarity: float) -> float:
-    """Chance that a pair of large sets shares no band."""
-    return math.pow(1 - similarity**BAND, BANDS)
+    """Chance that a pair of large sets shares fewer than MET bands."""
+    p = similarity**BAND
+    return sum(math.comb(BANDS, k) * p**k * (1 - p) ** (BANDS - k) for k in range(MET))
