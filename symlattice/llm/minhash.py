@@ -9,11 +9,12 @@ and one sketch stands for it, so copies cost nothing further.
 Registers are banded, six to a band. In each bucket of a band, every class is
 paired with the bucket's hub, the class that shares most buckets with others
 (for a group of near copies, their original); hubs link most of a group at
-once. Afterwards the pairs whose ends are still in different components are
-tried as well if they share three bands (one, for small sets). A pair at the
-threshold misses that with a chance of about 8e-7. Candidates pass the
-collision-corrected estimate of their Jaccard similarity, with a margin of five
-standard deviations, and are then confirmed on the full sets.
+once. Such pairs pass the collision-corrected estimate of their Jaccard
+similarity, with a margin of five standard deviations, and are then confirmed on
+the full sets. Classes that share three bands (one, for small sets) with other
+components afterwards are compared with those by a prefix filter on the full
+sets, since trying all pairs of a bucket grows with its square. A pair at the
+threshold shares fewer bands with a chance of about 8e-7.
 
 Null texts and texts without words have an empty set and link with nothing. A
 null id links with nothing and stays. Rows that share an id count as one
@@ -28,7 +29,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from symlattice.operators.fixpoint import components
@@ -244,21 +245,44 @@ class NearDuplicates:
         ids = checkpoint(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct())
         sets = checkpoint(self.docs.join(slim(ids), "id", "left_semi").mapInArrow(_sets, "id long, hashes array<long>").dropDuplicates(["id", "hashes"]))
         full = likely.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("set_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("set_b")), "b")
-        common = F.size(F.array_intersect("set_a", "set_b"))
-        full = full.withColumns({"common": common, "total": F.size("set_a") + F.size("set_b") - common})
-        return checkpoint(full.filter(F.col("common") * 100 >= F.col("total") * self.percent).select("a", "b").distinct())
+        return self.similar(full)
 
     def shared_ids(self) -> DataFrame:
         """Links (a, b) that ids make which stand on rows of several classes."""
         several = self.rows.filter("n > 0").select("id", "n", "f0", "f1").distinct().groupBy("id").count().filter("count > 1").select("id")
         return self.rows.join(several, "id").join(self.classes, ["n", "f0", "f1"]).filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct()
 
-    def met_often(self, rest: DataFrame) -> DataFrame:
-        """Pairs (a, b) in different components, of fitting sizes, that share the buckets that similar sets would."""
-        x, y = (rest.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "component"))) for s in "xy")
-        fits = (F.col("rep_x") < F.col("rep_y")) & (F.col("component_x") != F.col("component_y")) & self.near(F.col("n_x"), F.col("n_y"))
-        pairs = x.join(y, "key").filter(fits).groupBy(F.col("rep_x").alias("a"), F.col("rep_y").alias("b")).agg(F.count("*").alias("bands"), F.min(F.least("n_x", "n_y")).alias("n"))
-        return pairs.filter((F.col("bands") >= MET) | (F.col("n") < FEW)).select("a", "b")
+    def by_prefix(self, left: DataFrame) -> DataFrame:
+        """Links (a, b) between different components among the classes (rep, component), by their full sets and without trying all pairs.
+
+        Shingles are ordered by how many of these sets hold them, rarest first.
+        Similar sets have a shingle in common among the first of each, and its
+        place bounds what they can have in common from there on, so a shingle that
+        all of a large group hold pairs nobody.
+        """
+        ids = checkpoint(left.select(F.col("rep").alias("id")).distinct())
+        sets = self.docs.join(slim(ids), "id", "left_semi").mapInArrow(_sets, "id long, hashes array<long>").filter(F.size("hashes") > 0)
+        sets = checkpoint(sets.withColumns({"n": F.size("hashes").cast("long"), "set_id": F.xxhash64("hashes")}).dropDuplicates(["id", "set_id"]))
+        held = sets.dropDuplicates(["set_id"]).select("set_id", "n", F.explode("hashes").alias("h"))
+        often = held.groupBy("h").count().filter("count > 1")
+        rare_first = Window.partitionBy("set_id").orderBy("count", "h")
+        placed = held.join(often, "h").withColumns({"rank": F.row_number().over(rare_first), "common": F.count("*").over(Window.partitionBy("set_id"))})
+        placed = placed.withColumn("place", F.col("n") - F.col("common") + F.col("rank") - 1)  # those that no other set holds come first
+        first = placed.filter(F.col("place") <= F.floor(F.col("n") * (100 - self.percent) / 100)).select("set_id", "h", "place")
+        who = sets.select("set_id", "id", "n").join(left.select(F.col("rep").alias("id"), "component"), "id")
+        first = checkpoint(first.join(who, "set_id"))
+        x, y = (first.select("h", *(F.col(c).alias(f"{c}_{s}") for c in ("set_id", "id", "n", "place", "component"))) for s in "xy")
+        still = F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y"))
+        fits = (F.col("id_x") < F.col("id_y")) & (F.col("component_x") != F.col("component_y")) & self.near(F.col("n_x"), F.col("n_y")) & (still * (100 + self.percent) >= (F.col("n_x") + F.col("n_y")) * self.percent)
+        pairs = x.join(y, "h").filter(fits).select(F.col("id_x").alias("a"), F.col("id_y").alias("b"), "set_id_x", "set_id_y").distinct()
+        whole = sets.dropDuplicates(["set_id"])
+        return self.similar(pairs.join(whole.select(F.col("set_id").alias("set_id_x"), F.col("hashes").alias("set_a")), "set_id_x").join(whole.select(F.col("set_id").alias("set_id_y"), F.col("hashes").alias("set_b")), "set_id_y"))
+
+    def similar(self, full: DataFrame) -> DataFrame:
+        """The pairs (a, b) of (a, b, set_a, set_b) whose sets are as similar as asked."""
+        common = F.size(F.array_intersect("set_a", "set_b"))
+        full = full.withColumns({"common": common, "total": F.size("set_a") + F.size("set_b") - common})
+        return checkpoint(full.filter(F.col("common") * 100 >= F.col("total") * self.percent).select("a", "b").distinct())
 
     def near(self, n: Column, m: Column) -> Column:
         """Sets of sizes so unequal can't be similar enough."""
@@ -275,14 +299,12 @@ class NearDuplicates:
         tried = checkpoint(pairs.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b").filter(self.near(F.col("na"), F.col("nb"))).select("a", "b").distinct())
         links = self.confirmed(tried).unionByName(self.shared_ids())
         parts = components(links)
-        # whoever shares a bucket and isn't linked yet is tried as well
+        # whoever shares buckets with other components is compared with them as well
         where = keys.join(parts.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         mixed = where.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most").select("key")
-        rest = checkpoint(where.join(mixed, "key").select("key", "rep", "n", "component"))
-        more = checkpoint(self.met_often(rest).join(tried, ["a", "b"], "left_anti"))
-        if more.isEmpty():
-            return parts.withColumnRenamed("id", "rep")
-        return components(links.unionByName(self.confirmed(more))).withColumnRenamed("id", "rep")
+        left = where.join(mixed, "key").groupBy("rep", "n", "component").count().filter((F.col("count") >= MET) | (F.col("n") < FEW)).select("rep", "component").distinct()
+        more = self.by_prefix(checkpoint(left))
+        return components(links.unionByName(more)).withColumnRenamed("id", "rep")
 
 
 def near_dedup(documents: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
