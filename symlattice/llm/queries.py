@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symlattice.llm import bpe, exact_dedup, minhash, mixing, topk
+from symlattice.llm import bpe, chat, exact_dedup, langid, learning, line_dedup, minhash, mixing, topk, toxicity, warc
 from symlattice.session import table
 
 
-def vocabulary_path() -> str:
+def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,5 +90,52 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_dedup(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"op1_topk": op1_topk, "op2_exact_dedup": op2_exact_dedup, "op4_bpe": op4_bpe, "op8_mix": op8_mix, "op9_minhash": op9_minhash}
-ORACLES = {"op1_topk": SQL_TOPK, "op2_exact_dedup": SQL_EXACT_DEDUP, "op8_mix": SQL_MIX}
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.convert(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+SQL_WARC = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS h FROM pages),
+m AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, h AS payload_digest,
+  CASE WHEN n >= 100 AND page_id IS DISTINCT FROM first AND first IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 100 AND page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM m
+"""
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.learnt(spark, docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select(F.col("id").alias("doc_id"), learning.held_out("id").alias("held_out"), "score", "predicted")
+
+
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs, vocabulary_path("piece_bpe_32k.model"))
+    return langid.identify(docs, model).select(F.col("id").alias("doc_id"), learning.held_out("id").alias("held_out"), "lang_pred", "score")
+
+
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = chat.from_turns(table(spark, sf_dir, "conversations"))
+    return chat.link(calls, results, chat.SCHEMAS).drop("problems")
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+QUERIES = {
+    "op1_topk": op1_topk,
+    "op2_exact_dedup": op2_exact_dedup,
+    "op3_warc": op3_warc,
+    "op4_bpe": op4_bpe,
+    "op5_toxicity": op5_toxicity,
+    "op6_langid": op6_langid,
+    "op7_chat": op7_chat,
+    "op8_mix": op8_mix,
+    "op9_minhash": op9_minhash,
+    "op10_line_dedup": op10_line_dedup,
+}
+ORACLES = {"op1_topk": SQL_TOPK, "op2_exact_dedup": SQL_EXACT_DEDUP, "op3_warc": SQL_WARC, "op8_mix": SQL_MIX}
