@@ -26,6 +26,7 @@ are.
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -204,15 +205,19 @@ def estimate(a: np.ndarray, b: np.ndarray, chance: np.ndarray) -> tuple[np.ndarr
     return np.maximum(0.0, same - chance) / np.maximum(used - chance, 1), used
 
 
+@lru_cache(maxsize=1)
+def _collisions() -> Collisions:
+    return Collisions()
+
+
 def _plausible(threshold: float):
-    found: list[Collisions] = []
+    chance = _collisions()  # a grid of a few KB, made once on the driver
 
     def run(batches):
-        found.append(Collisions()) if not found else None
         for batch in batches:
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS) for c in (2, 3))
             n, m = (np.asarray(batch.column(c), dtype=np.float64) for c in (4, 5))
-            guess, used = estimate(a, b, found[0](n, m))
+            guess, used = estimate(a, b, chance(n, m))
             margin = 5 * np.sqrt(threshold * (1 - threshold) / np.maximum(used, 1))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(guess >= threshold - margin))
 
