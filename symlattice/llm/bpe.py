@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 _SPACES = regex.compile(r"\p{White_Space}+")
 _ODD = re.compile("[\x1c-\x1f]")
 #: Distinct forms that a task remembers, and cells of the trees advanced together.
-REMEMBERED = 500_000
-CELLS = 1 << 20
+REMEMBERED = 250_000
+CELLS = 1 << 18
 NONE = np.int64(2**62)
 
 
@@ -241,7 +241,7 @@ def _encoder(shared) -> Encoder:
     return Encoder(_vocabulary(shared))
 
 
-def _groups(sizes: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def _groups(sizes: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about ``most`` in all, one row at least."""
     at = 0
     upto = np.cumsum(sizes)
@@ -276,10 +276,8 @@ class Bpe:
         def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             encoder = _encoder(shared)
             for texts in batches:
-                out = []
                 for a, b in _groups(_sizes(texts)):
-                    out.append(_lists(*encoder.encode(texts[a:b].to_pylist())))
-                yield pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))
+                    yield _lists(*encoder.encode(texts[a:b].to_pylist()))
 
         return run(F.coalesce(text, F.lit("")))
 
@@ -291,12 +289,11 @@ class Bpe:
             vocab = _vocabulary(shared)
             for lists in batches:
                 counts = np.diff(np.asarray(lists.offsets, dtype=np.int64))
-                out, flat, at = [], lists.flatten(), 0
+                flat, at = lists.flatten(), 0
                 for a, b in _groups(counts, 1 << 19):
                     n = int(counts[a:b].sum())
-                    out.append(_texts(vocab, np.asarray(flat[at : at + n], dtype=np.int64), counts[a:b]))
+                    yield _texts(vocab, np.asarray(flat[at : at + n], dtype=np.int64), counts[a:b])
                     at += n
-                yield pa.concat_arrays(out) if out else pa.array([], pa.string())
 
         return run(ids)
 
