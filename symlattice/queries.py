@@ -323,6 +323,12 @@ def order_components(spark, sf_dir):
     return components(lines.select((F.col("l_orderkey") * 2).alias("x"), (F.col("l_suppkey") * 2 + 1).alias("y")))
 
 
+@query("supplier_components")
+def supplier_components(spark, sf_dir):
+    """Orders and suppliers that any line connects: union-find over the whole of lineitem."""
+    return components(table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 2).alias("x"), (F.col("l_suppkey") * 2 + 1).alias("y")))
+
+
 @query("resolve_decls", f"WITH {_st(0)}, {_st(1)} SELECT name, count(*) FILTER (WHERE bytesize IS NULL) AS declared, count(DISTINCT bytesize) AS definitions, CASE WHEN count(DISTINCT bytesize) = 1 THEN max(bytesize) END AS resolved FROM (SELECT name, bytesize FROM st0 UNION ALL SELECT name, bytesize FROM st1) GROUP BY name HAVING count(*) FILTER (WHERE bytesize IS NULL) > 0")
 def resolve_decls(spark, sf_dir):
     """Declarations that the one definition of their name resolves."""
