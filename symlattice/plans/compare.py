@@ -87,10 +87,11 @@ def colours(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     now = checkpoint(base.withColumnRenamed("base", "colour"))
     classes = now.select("colour").distinct().count()
     while True:
-        below = edges.join(now.select(F.col("id").alias("dst"), "colour"), "dst").groupBy("src").agg(
-            F.sort_array(F.collect_list(F.concat_ws("|", "label", "key", "colour"))).alias("below")  # a node's own edges
-        )
-        new = base.join(below, base["id"] == below["src"], "left").select("id", F.sha2(F.concat_ws("/", "base", F.concat_ws(",", "below")), 256).alias("colour"))
+        ends = edges.join(now.select(F.col("id").alias("dst"), "colour"), "dst").select("src", F.concat_ws("|", "label", "key", "colour").alias("edge"))
+        # sums of halves of two hashes: free of order, partial aggregates, and no overflow below 2**31 edges
+        halves = [h for k in (0, 1) for x in [F.xxhash64(F.lit(k), "edge", F.lit(k))] for h in (F.shiftrightunsigned(x, 32), x.bitwiseAND(F.lit(0xFFFFFFFF)))]
+        below = ends.groupBy("src").agg(F.count("*").alias("n"), *(F.sum(h).alias(f"h{i}") for i, h in enumerate(halves)))
+        new = base.join(below, base["id"] == below["src"], "left").select("id", F.sha2(F.concat_ws("/", "base", "n", *(f"h{i}" for i in range(4))), 256).alias("colour"))
         now = checkpoint(new)
         found = now.select("colour").distinct().count()
         if found == classes:

@@ -323,6 +323,27 @@ def order_components(spark, sf_dir):
     return components(lines.select((F.col("l_orderkey") * 2).alias("x"), (F.col("l_suppkey") * 2 + 1).alias("y")))
 
 
+@query("version_classes")
+def version_classes(spark, sf_dir):
+    """Colour classes over all nodes of both versions, by kind: how many each version has and shares; the interface kind compares the roots."""
+    a, b = both(spark, sf_dir)
+    nodes = a.nodes().withColumn("v", F.lit(0)).unionByName(b.nodes().withColumn("v", F.lit(1)))
+    found = nodes.select("id", "kind", "v").join(colours(nodes, a.edges().unionByName(b.edges())), "id")
+    one = found.groupBy("kind", "colour").agg(F.min("v").alias("first"), F.max("v").alias("last"), F.count("*").alias("nodes"))
+    count = lambda c: F.count(F.when(c, 1))
+    return one.groupBy("kind").agg(F.sum("nodes").alias("nodes"), count(F.col("first") == 0).alias("before"), count(F.col("last") == 1).alias("after"), count(F.col("first") < F.col("last")).alias("shared"))
+
+
+@query("dedupe_graph")
+def dedupe_graph(spark, sf_dir):
+    """The edges of version 0 with every end, the root too, replaced by the smallest id of its class."""
+    g = TableGraph(spark, sf_dir, 0)
+    found = colours(g.nodes(), g.edges())
+    keep = found.join(found.groupBy("colour").agg(F.min("id").alias("keep_id")), "colour").select("id", "keep_id")
+    src, dst = (keep.select(F.col("id").alias(c), F.col("keep_id").alias(f"{c}_id")) for c in ("src", "dst"))
+    return g.edges().join(src, "src").join(dst, "dst").select(F.col("src_id").alias("src"), "label", "key", F.col("dst_id").alias("dst")).distinct()
+
+
 @query("supplier_components")
 def supplier_components(spark, sf_dir):
     """Orders and suppliers that any line connects: union-find over the whole of lineitem."""
