@@ -15,7 +15,16 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(remainder(id_col) == 1, F.lit(False))
 
 
+#: Parts of each value that are ranked apart first, so that the last ranking gets SALTS * most rows of each at the most.
+SALTS = 32
+
+
 def first_by_hash(rows: DataFrame, id_col: str, per: str, most: int) -> DataFrame:
-    """At most ``most`` rows of each value of ``per``, by the hash of the id; tasks pass on no more than that each."""
-    order = Window.partitionBy(per).orderBy(F.xxhash64(id_col), F.col(id_col))
-    return rows.withColumn("__nth", F.row_number().over(order)).filter(F.col("__nth") <= most).drop("__nth")
+    """At most ``most`` rows of each value of ``per``, by the hash of the id; ranked within salts of the id first, since Spark limits no window beyond 1,000 rows ahead of its shuffle."""
+    by = (F.xxhash64(id_col), F.col(id_col))
+    salt = F.pmod(F.xxhash64(F.lit("salt"), id_col), F.lit(SALTS))
+    for keys in ((per, "__salt"), (per,)):
+        rows = rows.withColumn("__salt", salt) if "__salt" in keys else rows
+        order = Window.partitionBy(*keys).orderBy(*by)
+        rows = rows.withColumn("__nth", F.row_number().over(order)).filter(F.col("__nth") <= most).drop("__nth")
+    return rows.drop("__salt")
