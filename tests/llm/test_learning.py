@@ -39,7 +39,7 @@ def test_toxicity_locates_sentences(spark):
     text = "All is well here. What an IDIOT troll you are! Fine day\nlovely words"
     odd = spark.createDataFrame([(1, text, "x"), (2, None, "x"), (3, "", "x"), (None, "idiot", "x"), (1, text, "x"), (4, "fine. " * 20_000 + "idiot troll", "x"), (5, "1234 %% 😀", "x")], "doc_id long, text string, score string")
     got = toxicity.score(odd, model).collect()
-    assert [r["predicted"] for r in got] == [1, 0, 0, 1, 1, 1, 0] or got[3]["predicted"] == 0
+    assert [r["predicted"] for r in got[:3] + got[4:]] == [1, 0, 0, 1, 1, 0]
     s = got[0]["offending"]
     assert len(s) == 1 and "IDIOT" in text[s[0]["start"] : s[0]["end"]] and "well" not in text[s[0]["start"] : s[0]["end"]]
     assert toxicity.score(odd.limit(0), model).count() == 0
@@ -101,6 +101,51 @@ def test_language_rows(spark, model):
     rows = [(1, "the old house"), (2, None), (3, ""), (4, "1234 !! ½ ²"), (5, "DER MANN"), (None, "das haus"), (1, "the old house"), (6, "the man " * 50_000)]
     got = [(r["id"], r["lang_pred"]) for r in langid.identify(spark.createDataFrame([(*r, "c") for r in rows], "doc_id long, text string, score string"), model).collect()]
     assert got == [(1, "en"), (2, "und"), (3, "und"), (4, "und"), (5, "de"), (None, "de"), (1, "en"), (6, "en")]
-    assert re.match("de", "de")
     nothing = langid.fit(spark.createDataFrame([], "doc_id long, text string, lang string"), vocabulary_path("piece_bpe_32k.model"))
     assert nothing.text("hello") == ("und", 0.0)
+
+
+def test_language_whole_query(spark):
+    """Every row against sums over dictionaries, counted anew; sf0.001 has fewer documents than the fit's bound."""
+    rows = table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text", "lang").collect()
+    pieces, sp = langid._pieces(vocabulary_path("piece_bpe_32k.model"))
+    use = {p for p in pieces if p == p.lower() and not p.startswith("<")}
+    langs = sorted({r["lang"] for r in rows if r["lang"] and not out(r["doc_id"])})
+    words = lambda t: re.findall(r"[^\W\d_]+", (t or "").lower())
+    counts = {g: dict.fromkeys(use, 0.5) for g in langs}
+    for r in rows:
+        if r["lang"] and not out(r["doc_id"]):
+            for w in words(r["text"]):
+                for p in map(sp.id_to_piece, sp.encode(w)):
+                    if p in use:
+                        counts[r["lang"]][p] += 1
+    probs = {g: {p: n / sum(c.values()) for p, n in c.items()} for g, c in ((g, counts[g]) for g in langs)}
+    logs = {}
+
+    def log(w, g):
+        if (w, g) not in logs:
+            w_, a = "▁" + w, [1.0]
+            for j in range(1, len(w_) + 1):
+                a.append(a[-1] * 1e-9 + sum(a[i] * probs[g].get(w_[i:j], 0) for i in range(max(0, j - langid.LONGEST), j)))
+            logs[w, g] = math.log(a[-1])
+        return logs[w, g]
+
+    got = {r["doc_id"]: r for r in op6_langid(spark, "/root/testdata/sf0.001").collect()}
+    for r in rows:
+        found = [w for w in words(r["text"]) if any(map(str.isalpha, w))]
+        total = [sum(log(w, g) for w in found) for g in langs]
+        share = [math.exp(t - max(total)) for t in total]
+        g = got[r["doc_id"]]
+        assert g["lang_pred"] == (langs[int(np.argmax(total))] if found else "und")
+        assert abs(g["score"] - (max(share) / sum(share) if found else 0)) < 1e-6
+
+
+def test_language_parts():
+    """Long texts are cut between words, also where the table of words overflows."""
+    t = "ab cd " * 10 + "x" * 50 + " y"
+    langid_together, langid.TOGETHER = langid.TOGETHER, 16
+    try:
+        assert "".join(t[a:b] for a, b in langid._parts(t)) == t
+        assert [w for a, b in langid._parts(t) for w in langid._WORDS.findall(t, a, b)] == t.split()
+    finally:
+        langid.TOGETHER = langid_together
