@@ -1,11 +1,11 @@
-"""Fixpoints over edge tables: every round is a join, cut off by a checkpoint."""
+"""Fixpoints over edge tables: every round is a join, cut off by a table in the shared folder."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symlattice.session import checkpoint
+from symlattice.session import checkpoint, free
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -18,8 +18,7 @@ def components(edges: DataFrame) -> DataFrame:
     is an aggregate with partial minima, never a group in memory.
     """
     a, b = edges.columns[:2]
-    work = edges.select(F.greatest(a, b).alias("x"), F.least(a, b).alias("y")).filter("x <> y").distinct()
-    work = checkpoint(work)
+    work = checkpoint(edges.select(F.greatest(a, b).alias("x"), F.least(a, b).alias("y")).filter("x <> y").distinct())
     nodes = checkpoint(work.select(F.explode(F.array("x", "y")).alias("id")).distinct())
     while True:
         both = work.union(work.select("y", "x"))
@@ -28,10 +27,11 @@ def components(edges: DataFrame) -> DataFrame:
         large = checkpoint(large)  # no more rows than edges; repeats go below
         least = large.groupBy("x").agg(F.min("y").alias("least"))
         small = large.join(least, "x").filter("y <> least").select(F.col("y").alias("x"), F.col("least").alias("y"))
-        work = checkpoint(small.union(least.select("x", "least")).distinct())
+        before, work = work, checkpoint(small.union(least.select("x", "least")).distinct())
+        free(before, large)
         # only stars: every node has one edge, and no centre has an edge of its own
         ends = work.select(F.col("x").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(work.select("y", F.lit(0), F.lit(1)))
         ends = ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
-        if not ends.filter("up > 1 or (up = 1 and down = 1)").count():
+        if ends.filter("up > 1 or (up = 1 and down = 1)").isEmpty():
             break
     return nodes.join(work.select(F.col("x").alias("id"), F.col("y").alias("component")), "id", "left").withColumn("component", F.coalesce("component", "id"))
