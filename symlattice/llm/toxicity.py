@@ -32,7 +32,7 @@ from symlattice.session import checkpoint
 PER_CLASS = 8_000
 VOCABULARY = 3_000
 BEGINNINGS = (4, 5, 6)
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 MIN_DOCS = 3
 LEAST_GAP = 2.0
 #: Fixed bias of a sentence with known features, and strength of the prior on the weights.
