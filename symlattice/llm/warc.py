@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from symlattice.session import checkpoint, shared_dir
 
 MIN_REVISIT = 100
-#: Rows of a digest and an id that may be broadcast: some 16 MB.
-BROADCAST_ROWS = 250_000
+#: Rows of a digest, an id, a place, a url and a date that may be broadcast: some 30 MB.
+BROADCAST_ROWS = 100_000
 #: Field names of the two versions' header lines; fixed values of the format.
 FIELDS = {
     1: ("URL", "IP-address", "Archive-date", "Content-type", "Archive-length"),
@@ -53,7 +53,12 @@ def _emit(rows: Iterator[tuple], schema: pa.Schema, weight) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), schema.types, strict=True)], schema=schema)
 
 
-_LINE = pa.schema([("value", pa.string())])
+_LINE = pa.schema([("value", pa.binary())])
+
+
+def _write(rows: DataFrame, path: str) -> None:
+    """Records as they are, each followed by a line feed; Spark's text files take any bytes."""
+    rows.select(F.col("value").cast("string").alias("value")).write.option("compression", "gzip").text(path)
 
 
 # ---- ARC
@@ -77,14 +82,14 @@ def write_arc(pages: DataFrame, path: str, version: int = 1, date: str = "202001
 
     def run(batches):
         def rows():
-            yield (arc_head(version, date),)
+            yield (arc_head(version, date).encode(),)
             for b in batches:
                 for i, u, h in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    yield (arc_record(version, i, u, h or "", date),)
+                    yield (arc_record(version, i, u, h or "", date).encode(),)
 
         yield from _emit(rows(), _LINE, lambda r: len(r[0]))
 
-    pages.mapInArrow(run, "value string").write.option("compression", "gzip").text(path)
+    _write(pages.mapInArrow(run, "value binary"), path)
 
 
 def arc_records(data: io.BufferedIOBase) -> Iterator[tuple[dict, bytes]]:
@@ -118,71 +123,77 @@ def _http(block: bytes) -> tuple[dict[str, str], bytes, bytes]:
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}, head + mark, payload
 
 
-_ARC = pa.schema([("kind", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("date", pa.string()), ("mime", pa.string()), ("digest", pa.binary()), ("n", pa.int64()), ("block", pa.binary())])
-_ARC_DDL = "kind string, page_id long, url string, date string, mime string, digest binary, n long, block binary"
+_ARC = pa.schema([("kind", pa.string()), ("place", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("date", pa.string()), ("ip", pa.string()), ("mime", pa.string()), ("digest", pa.binary()), ("n", pa.int64()), ("block", pa.binary())])
+_ARC_DDL = "kind string, place string, page_id long, url string, date string, ip string, mime string, digest binary, n long, block binary"
 
 
 def read_arc(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each record of the ARC files; digest and n are those of the payload."""
+    """A row for each record of the ARC files; digest and n are those of the payload, place is the file's name with the record's number."""
 
     def rows(batches):
         for b in batches:
-            for content in b.column(0):
-                raw = content.as_buffer()
-                for f, block in arc_records(gzip.GzipFile(fileobj=pa.BufferReader(raw)) if bytes(raw[:2]) == b"\x1f\x8b" else io.BytesIO(raw)):
+            for content, file in zip(*b.columns, strict=True):
+                raw, file = content.as_buffer(), file.as_py().rsplit("/", 1)[-1]
+                for k, (f, block) in enumerate(arc_records(gzip.GzipFile(fileobj=pa.BufferReader(raw)) if bytes(raw[:2]) == b"\x1f\x8b" else io.BytesIO(raw))):
                     if f["URL"].startswith("filedesc:"):
-                        yield "filedesc", None, f["URL"], f["Archive-date"], f["Content-type"], None, len(block), block
+                        yield "filedesc", f"{file}#{k}", None, f["URL"], f["Archive-date"], None, f["Content-type"], None, len(block), block
                     else:
                         headers, _, payload = _http(block) if block.startswith(b"HTTP/") else ({}, b"", block)
                         page = headers.get("x-page-id")
-                        yield "page", int(page) if page else None, f["URL"], f["Archive-date"], f["Content-type"], hashlib.sha256(payload).digest(), len(payload), block
+                        yield "page", f"{file}#{k}", int(page) if page else None, f["URL"], f["Archive-date"], f["IP-address"], f["Content-type"], hashlib.sha256(payload).digest(), len(payload), block
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(lambda bs: _emit(rows(bs), _ARC, lambda r: len(r[-1]) + 200), _ARC_DDL)
+    return spark.read.format("binaryFile").load(path).select("content", "path").mapInArrow(lambda bs: _emit(rows(bs), _ARC, lambda r: len(r[-1]) + 200), _ARC_DDL)
 
 
 # ---- WARC
 
 
 def _iso(date: str) -> str:
-    d = (date + "0" * 14)[:14]
-    return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:]}Z"
+    """Fourteen digits or fewer; what is missing is the least there is."""
+    d = date + "00000101000000"[len(date) :]
+    return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
-def record_id(url: str, date: str, digest: bytes | None, page_id: int | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{url} {date} {(digest or b"").hex()} {page_id}')}>"
+def record_id(place: str, url: str, date: str, digest: bytes | None) -> str:
+    """Named by the record's place, so that equal records of a file, or of two, have ids of their own."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{place} {url} {date} {(digest or b"").hex()}')}>"
 
 
-def warc_record(kind: str, page_id: int | None, url: str, date: str, mime: str, digest: bytes | None, n: int, block: bytes, first: int | None) -> str:
-    """A WARC record without its last line feed. first: the page that holds the same payload, if this one revisits it."""
-    fields = [("WARC-Record-ID", record_id(url, date, digest, page_id)), ("WARC-Date", _iso(date))]
+def warc_record(kind: str, place: str, page_id: int | None, url: str, date: str, ip: str | None, mime: str, digest: bytes | None, n: int, block: bytes, first: dict | None) -> bytes:
+    """A WARC record without its last line feed. first: page_id, place, url and date of the record that holds the same payload, if this one revisits it."""
+    fields = [("WARC-Record-ID", record_id(place, url, date, digest)), ("WARC-Date", _iso(date))]
     if kind == "filedesc":
         block = b"software: symlattice\r\nformat: WARC File Format 1.1\r\ndescription: " + block.split(b"\n", 1)[0].strip() + b"\r\n"
         fields = [("WARC-Type", "warcinfo"), *fields, ("WARC-Filename", url.removeprefix("filedesc://")), ("Content-Type", "application/warc-fields")]
     else:
         http = block.startswith(b"HTTP/")
         fields = [("WARC-Type", "response" if http else "resource"), *fields, ("WARC-Target-URI", url), ("WARC-Payload-Digest", f"sha256:{digest.hex()}"), ("Content-Type", "application/http; msgtype=response" if http else mime)]
+        if ip and ip != "0.0.0.0":
+            fields.append(("WARC-IP-Address", ip))
         if first is not None and http:
             block = _http(block)[1]
             fields[0] = ("WARC-Type", "revisit")
-            fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To-Page", str(first))]
+            fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(first["place"], first["url"], first["date"], digest)), ("WARC-Refers-To-Target-URI", first["url"]), ("WARC-Refers-To-Date", _iso(first["date"])), ("WARC-Refers-To-Page", str(first["page_id"]))]
     fields += [("WARC-Block-Digest", f"sha256:{hashlib.sha256(block).hexdigest()}"), ("Content-Length", str(len(block)))]
-    return "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n" + block.decode("utf-8") + "\r\n\r"
+    return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n").encode() + block + b"\r\n\r"
 
 
 def write_warc(records: DataFrame, path: str, min_revisit: int = MIN_REVISIT) -> None:
-    """A WARC file for each task's records of read_arc()."""
-    pages = records.filter(f"kind = 'page' and n >= {min_revisit}")
-    shared = pages.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("times")).filter("times > 1").select("digest", "first")
-    shared = checkpoint(shared)
+    """A WARC file for each task's records of read_arc(). WARC-Refers-To-Page, beside the standard fields, names the page itself."""
+    pages = records.filter(f"kind = 'page' and n >= {min_revisit} and page_id is not null")
+    shared = pages.groupBy("digest").agg(F.min(F.struct("page_id", "place", "url", "date")).alias("first"), F.min("page_id").alias("least"), F.max("page_id").alias("most"), F.count("*").alias("times"))
+    # records without an id revisit a page too, so digests of one page are needed where those exist
+    nameless = records.filter(f"kind = 'page' and n >= {min_revisit} and page_id is null").select("digest").distinct().withColumn("nameless", F.lit(True))
+    shared = checkpoint(shared.join(nameless, "digest", "left").filter("least < most or nameless").select("digest", "first"))
     if shared.count() <= BROADCAST_ROWS:  # else by a shuffle
         shared = F.broadcast(shared)
-    known = records.join(shared, "digest", "left").withColumn("first", F.when((F.col("n") >= min_revisit) & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")))
+    known = records.join(shared, "digest", "left").withColumn("first", F.when((F.col("n") >= min_revisit) & ~F.col("page_id").eqNullSafe(F.col("first.page_id")), F.col("first")))
 
     def run(batches):
         rows = ((warc_record(*r),) for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
         yield from _emit(rows, _LINE, lambda r: len(r[0]))
 
-    known.select("kind", "page_id", "url", "date", "mime", "digest", "n", "block", "first").mapInArrow(run, "value string").write.option("compression", "gzip").text(path)
+    _write(known.select("kind", "place", "page_id", "url", "date", "ip", "mime", "digest", "n", "block", "first").mapInArrow(run, "value binary"), path)
 
 
 def warc_records(data: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:

@@ -41,7 +41,25 @@ def test_payloads_come_back(spark, tmp_path):
     assert sorted((r["page_id"], bytes(r["payload"]).decode()) for r in got if r["page_id"] is not None) == sorted((i, h or "") for i, _, h in ROWS if i is not None)
     assert {r["date"] for r in got} == {"2020-01-01T00:00:00Z"} and {r["record_type"] for r in got} == {"response"}
     ids = [r["record_id"] for r in got]
-    assert all(x.startswith("<urn:uuid:") for x in ids)
+    assert all(x.startswith("<urn:uuid:") for x in ids) and len(set(ids)) == len(ids)
+
+
+def test_binary_payloads(spark, tmp_path):
+    """Bytes that are no UTF-8, among them line feeds, from an archive of two images and a revisit."""
+    image = bytes(range(256)) * 3
+    head = b"HTTP/1.1 200 OK\r\nContent-Type: image/png\r\nContent-Length: 768\r\nX-Page-Id: %d\r\n\r\n"
+    arc = b"filedesc://x 0.0.0.0 20200101 text/plain 4\n1 0\n"
+    for i, payload in ((1, image), (2, image[::-1]), (3, image)):
+        block = head % i + payload
+        arc += b"\nhttp://a/%d 1.2.3.4 19990102030405 image/png %d\n" % (i, len(block)) + block
+    (tmp_path / "x.arc").write_bytes(arc + b"\n")
+    warc.write_warc(warc.read_arc(spark, f"{tmp_path}/x.arc"), f"{tmp_path}/warc")
+    got = {r["page_id"]: r for r in warc.read_warc(spark, f"{tmp_path}/warc").collect()}
+    assert bytes(got[1]["payload"]) == image and bytes(got[2]["payload"]) == image[::-1]
+    assert got[3]["record_type"] == "revisit" and got[3]["refers_to"] == 1 and got[3]["payload_bytes"] == 768
+    raw = b"".join(gzip.decompress(f.read_bytes()) for f in (tmp_path / "warc").glob("*.gz"))
+    assert raw.count(b"WARC-IP-Address: 1.2.3.4\r\n") == 3 and b"WARC-Refers-To: " + got[1]["record_id"].encode() in raw
+    assert b"WARC-Refers-To-Target-URI: http://a/1\r\nWARC-Refers-To-Date: 1999-01-02T03:04:05Z" in raw
 
 
 def test_versions_and_damage():
@@ -54,4 +72,4 @@ def test_versions_and_damage():
         list(warc.arc_records(io.BytesIO(one[:-40])))
     with pytest.raises(ValueError, match="not a WARC record"):
         list(warc.warc_records(gzip.GzipFile(fileobj=io.BytesIO(gzip.compress(b"hello\n")))))
-    assert warc._iso("1999") == "1999-00-00T00:00:00Z" and warc._iso("19990102030405") == "1999-01-02T03:04:05Z"
+    assert warc._iso("1999") == "1999-01-01T00:00:00Z" and warc._iso("199911") == "1999-11-01T00:00:00Z" and warc._iso("19990102030405") == "1999-01-02T03:04:05Z"
