@@ -11,7 +11,8 @@ Of several results with one identifier the earliest turn counts, then the
 smallest text; calls that repeat an identifier share it and keep their rows. A
 call without a result is ``pending``; dependencies that no call of the
 conversation has are ignored; calls on a cycle, or after one, have no level.
-Arguments that are null, not JSON or not an object, and tools without a schema,
+Arguments that are null, not JSON (numbers beyond doubles and lone surrogates
+count as such) or not an object, and tools without a schema,
 are invalid. Rows whose conversation or identifier is null take no part.
 """
 
@@ -54,7 +55,7 @@ def problems(value, schema: dict, at: str = "$") -> list[str]:
 
 
 def canonical(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
 
 
 def checked(arguments: str | None, schema: dict | None) -> tuple[object, list[str]]:
@@ -62,6 +63,7 @@ def checked(arguments: str | None, schema: dict | None) -> tuple[object, list[st
         return None, ["$: no such tool"]
     try:
         value = json.loads(arguments or "null", parse_constant=lambda x: 1 / 0)
+        canonical(value).encode()  # numbers beyond doubles and lone surrogates can't be written again
     except (ValueError, ZeroDivisionError, RecursionError):
         return None, ["$: not JSON"]
     return value, problems(value, {"type": "object"} | schema)

@@ -59,3 +59,12 @@ def test_whole_table(spark):
 
 def test_empty(spark):
     assert chat.link(spark.createDataFrame([], CALLS), spark.createDataFrame([], "conv_id long, turn long, call_id string, text string"), {}).count() == 0
+
+
+def test_values_that_cannot_be_written(spark):
+    """Lone surrogates and numbers beyond doubles are invalid; pairs of surrogates are not."""
+    texts = ['{"query": "\\ud800", "limit": 2}', '{"query": "q", "limit": 1e999}', '{"query": "\\ud83d\\ude00", "limit": 2}', '{"\\udfff": 1}', '{"query": NaN}']
+    calls = spark.createDataFrame([(1, k, f"c{k}", "search", t, []) for k, t in enumerate(texts)], "conv_id long, turn long, call_id string, name string, arguments string, after array<string>")
+    results = spark.createDataFrame([], "conv_id long, turn long, call_id string, text string")
+    got = {r["turn"]: r for r in chat.link(calls, results, chat.SCHEMAS).collect()}
+    assert [got[k]["valid"] for k in range(5)] == [False, False, True, False, False] and got[0]["problems"] == ["$: not JSON"]
