@@ -45,8 +45,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budget: floa
     return t.select("source", "source_size", F.when(free, F.col("edge.level") * F.col("weight")).otherwise(F.col("cap")).alias("target"))
 
 
-def mix(documents: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budget: float = 1.5, max_epochs: float = 2.0, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """documents with a struct column ``mix``: size, source_size, target, taken (words, repeats counted) and repeats (whole documents; an edge document counts if at least half of it is taken)."""
+def mix(documents: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budget: float = 1.5, max_epochs: float = 2.0, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", out: str = "mix") -> DataFrame:
+    """documents with a struct column ``out`` (a column of that name is replaced): size, source_size, target, taken (words, repeats counted) and repeats (whole documents; an edge document counts if at least half of it is taken)."""
     order = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
     sized = documents.withColumn("__mix", F.struct(F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), order.alias("order"), F.substring(order, 1, DIGITS).alias("bin"), F.col(source_col).alias("source")))
     bins = checkpoint(sized.groupBy(F.col("__mix.source").alias("source"), F.col("__mix.bin").alias("bin")).agg(F.sum("__mix.size").alias("words")))
@@ -67,9 +67,9 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budget: floa
     size, whole = F.col("__mix.size"), F.col("__goal.whole")
     on_edge = F.coalesce(F.col("__mix.bin") == F.col("__edge"), F.lit(False))
     inner = rows.filter(~on_edge).withColumn("__part", F.when(F.col("__mix.bin") <= F.col("__goal.full"), size).otherwise(F.lit(0).cast("long")))
-    along = Window.partitionBy("__source").orderBy("__mix.order", F.col(id_col)).rowsBetween(Window.unboundedPreceding, -1)
+    along = Window.partitionBy("__source").orderBy("__mix.order", F.col(id_col), F.xxhash64(text_col)).rowsBetween(Window.unboundedPreceding, -1)
     left = F.col("__goal.extra") - F.col("__goal.upto") - F.coalesce(F.sum(size).over(along), F.lit(0))
     edge = rows.filter(on_edge).withColumn("__part", F.greatest(F.lit(0).cast("long"), F.least(size, left)))
     full = F.col("__part") * 2 >= F.when(size > 0, size).otherwise(F.when(F.col("__mix.bin") <= F.col("__goal.full"), 0).otherwise(1))
-    out = inner.unionByName(edge).withColumn("mix", F.struct(size.alias("size"), F.col("__goal.source_size").alias("source_size"), F.col("__goal.target").alias("target"), (whole * size + F.col("__part")).alias("taken"), (whole + F.when(full, 1).otherwise(0)).cast("int").alias("repeats")))
-    return out.drop("__mix", "__source", "__goal", "__edge", "__part")
+    mixed = inner.unionByName(edge).withColumn(out, F.struct(size.alias("size"), F.col("__goal.source_size").alias("source_size"), F.col("__goal.target").alias("target"), (whole * size + F.col("__part")).alias("taken"), (whole + F.when(full, 1).otherwise(0)).cast("int").alias("repeats")))
+    return mixed.drop("__mix", "__source", "__goal", "__edge", "__part")

@@ -107,7 +107,7 @@ FROM m
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.learnt(spark, docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).select(F.col("id").alias("doc_id"), learning.held_out("id").alias("held_out"), "score", "predicted")
+    return toxicity.score(docs, model).select(F.col("id").alias("doc_id"), learning.held_out("id").alias("held_out"), "score", "predicted", "offending")
 
 
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import re
 from collections import defaultdict
 
+from symlattice.llm import mixing
 from symlattice.llm.mixing import mix
 from symlattice.llm.queries import op8_mix
 
@@ -52,3 +53,15 @@ def test_sources(spark):
 def test_native_plan(spark, capsys):
     op8_mix(spark, "/root/testdata/sf0.001").explain()
     assert not re.search("Python|Pandas|Arrow", capsys.readouterr().out)
+
+
+def test_repeated_ids_and_clashing_names(spark):
+    """Rows of one id and different texts on the edge are cut in one order, and a column of the caller's stays."""
+    rows = [(7, "a b c", "s", "x"), (7, "d", "s", "y"), (7, "e f", "s", "z"), (8, "g", "t", "m")]
+    runs = []
+    for parts in (1, 3):
+        df = spark.createDataFrame(rows, "doc_id long, text string, source string, mix string").repartition(parts)
+        got = mixing.mix(df, out="outcome").select("text", "mix", "outcome.taken").collect()
+        assert {r["text"]: r["mix"] for r in got} == {t: m for _, t, _, m in rows}
+        runs.append(sorted(map(tuple, got)))
+    assert runs[0] == runs[1]
