@@ -15,7 +15,7 @@ ORACLE_SQL = None
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't call toxic; ids it can't tell apart share the worst verdict."""
+    """Documents that the classifier doesn't call toxic, each row by its own text."""
     model = toxicity.learnt(spark, docs, table(spark, sf_dir, "labels"))
     verdict = toxicity.flag(docs, model)
     return verdict.filter("__toxic = 0").drop("__toxic")
@@ -37,8 +37,8 @@ def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix repeats it."""
-    rows = mixing.mix(docs).filter("mix.repeats > 0")
-    return rows.withColumn("mix", F.explode(F.array_repeat(F.lit(1), F.col("mix.repeats")))).select(*docs.columns)
+    rows = mixing.mix(docs, out="__outcome").filter("__outcome.repeats > 0")
+    return rows.withColumn("__outcome", F.explode(F.array_repeat(F.lit(1), F.col("__outcome.repeats")))).select(*docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
