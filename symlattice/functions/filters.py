@@ -1,7 +1,7 @@
 """Symbol filters: globs, lists and their combinations, compiled to Column conditions.
 
 Grammar: expressions are joined by ``|``, which binds weaker than ``&``;
-``!`` negates; parentheses group; ``:name`` refers to a file of symbols; any
+``!`` negates; parentheses group; ``:`` and a name refer to a list of symbols; any
 other word is a glob. White space separates only.
 """
 
@@ -34,12 +34,18 @@ def glob_regex(glob: str) -> str:
             body, i = glob[i:end], end + 1
             no = body[0] in "!^"
             body = body[1:] if no else body
-            out.append("[" + "^" * no + re.sub(r"([\\\[\]&~^])", r"\\\1", body) + "]")
+            ranges = [x for x in re.findall(r"(?s).-.|.", body) if len(x) < 3 or x[0] <= x[2]]  # a range that ends before it begins has no members
+            members = "".join("-".join(map(_member, (x[0], x[2]))) if len(x) == 3 else _member(x) for x in ranges)
+            out.append(f"[{'^' * no}{members}]" if members else "." if no else "(?!)")
         else:
             out.append(re.escape(c))
     return "".join(out) + "$"
 
 
+def _member(c: str) -> str:
+    return "\\" + c if c in "\\[]&~^-" else c
+
+
 def _closing(glob: str, at: int) -> int | None:
     j = at + (at < len(glob) and glob[at] in "!^")
     j += j < len(glob) and glob[j] == "]"  # a bracket that comes first is a member
@@ -61,10 +67,12 @@ def matches(column: Column, glob: str) -> Column:
 
 
 def read_list(text: str) -> list[str]:
-    """Symbols of an INI-like list: lines of the sections whose name ends in ``list``, without comments and blanks."""
+    """Symbols of an INI-like list: lines of the sections whose name ends in ``list``, without blanks and lines that begin with #."""
     out, inside = [], False
     for line in text.splitlines():
-        line = line.split("#", 1)[0].strip()
+        line = line.strip()
+        if line.startswith("#"):
+            continue
         if line.startswith("[") and line.endswith("]"):
             inside = line[1:-1].endswith("list")
         elif line and inside:
@@ -78,12 +86,12 @@ def _words(text: str) -> list[str]:
         c = text[i]
         if c.isspace():
             i += 1
-        elif c in "()!|&":
+        elif c in "()!|&:":
             out.append(c)
             i += 1
         else:
             j = i
-            while j < len(text) and not text[j].isspace() and text[j] not in "()!|&":
+            while j < len(text) and not text[j].isspace() and text[j] not in "()!|&:":
                 j += 1
             out.append(text[i:j])
             i = j
@@ -128,12 +136,14 @@ def compile_filter(expression: str, column: Column, lists: dict[str, list[str]]
             return inner
         if w in ")|&":
             raise FilterError(f"unexpected {w}")
-        if w.startswith(":"):
-            if len(w) == 1:
+        if w == ":":
+            name = peek()
+            if name is None or name in "()!|&:":
                 raise FilterError("missing name after :")
-            if w[1:] not in lists:
-                raise FilterError(f"no list {w[1:]}")
-            return column.isin(lists[w[1:]])
+            at += 1
+            if name not in lists:
+                raise FilterError(f"no list {name}")
+            return column.isin(lists[name])
         return matches(column, w)
 
     out = disjunction()

@@ -47,3 +47,39 @@ def transitions(old: DataFrame, new: DataFrame, key: str, level: str) -> DataFra
     """(before, after, n, least, greatest) over the full outer match of two level maps, absence being level 0."""
     both = old.select(key, F.col(level).alias("before")).join(new.select(key, F.col(level).alias("after")), key, "full_outer").select(key, F.coalesce("before", F.lit(0)).alias("before"), F.coalesce("after", F.lit(0)).alias("after"))
     return both.groupBy("before", "after").agg(F.count("*").alias("n"), F.min(key).alias("least"), F.max(key).alias("greatest"))
+
+
+#: What a comparison can be told to ignore; fixed values of the survey.
+IGNORES = ("type_declaration_status", "symbol_type_presence", "primitive_type_encoding", "member_size", "enum_underlying_type", "qualifier", "linux_symbol_crc", "interface_addition", "type_definition_addition")
+
+
+def heeded(what: Column, added: Column, ignore: set[str]) -> Column:
+    """Whether a difference counts. what: the flag that covers its kind, or null; added: whether only the new side is there, or is defined."""
+    if unknown := ignore - set(IGNORES):
+        raise ValueError(f"no such ignore: {sorted(unknown)}")
+    gone = F.lit(False)
+    for name in sorted(ignore):
+        covered = what == ("type_declaration_status" if name == "type_definition_addition" else name)
+        gone = gone | (covered & added if name.endswith("_addition") else covered)
+    return ~F.coalesce(gone, F.lit(False))
+
+
+def set_changes(old: DataFrame, new: DataFrame, keys: list[str], value: str, what: str) -> DataFrame:
+    """(keys..., value, text) of the members that one of two sets (keys, value) lacks, among keys that both have."""
+    both = old.select(*keys).distinct().join(new.select(*keys).distinct(), keys)
+    mark = lambda df, name: df.filter(F.col(value).isNotNull()).select(*keys, value, F.lit(True).alias(name)).distinct()
+    found = mark(old, "__old").join(mark(new, "__new"), [*keys, value], "full_outer").filter("__old is null or __new is null").join(both, keys, "left_semi")
+    return found.select(*keys, value, F.concat(F.lit(f"{what} "), F.col(value), F.when(F.col("__new").isNull(), " removed").otherwise(" added")).alias("text"))
+
+
+def anonymous_keys(df: DataFrame, by: list[str], order: list[str], key: str) -> DataFrame:
+    """df with empty keys numbered ``#anon#n`` from 0 in order, among the empty ones of each group."""
+    nth = F.row_number().over(Window.partitionBy(*by, F.col(key) == "").orderBy(*order)) - 1
+    return df.withColumn(key, F.when(F.col(key) == "", F.concat(F.lit("#anon#"), nth.cast("string"))).otherwise(F.col(key)))
+
+
+def remap(edges: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Edges (src, label, key, dst) with both ends replaced as (id, to) says, each once; ends that it doesn't name stay."""
+    for end in ("src", "dst"):
+        edges = edges.join(mapping.select(F.col("id").alias(end), "to"), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
+    return edges.select("src", "label", "key", "dst").distinct()

@@ -35,3 +35,22 @@ def components(edges: DataFrame) -> DataFrame:
         if ends.filter("up > 1 or (up = 1 and down = 1)").isEmpty():
             break
     return nodes.join(work.select(F.col("x").alias("id"), F.col("y").alias("component")), "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+
+def chains(links: DataFrame) -> DataFrame:
+    """(id, end, steps) of every id of the links (id, next), each id having one: where following them ends.
+
+    Pointers double every round, so a chain of n links takes log n joins. Ids on
+    a cycle, or leading into one, have no end and are left out.
+    """
+    now = checkpoint(links.select("id", F.col("next").alias("end"), F.lit(1).cast("long").alias("steps")))
+    while True:
+        further = now.select(F.col("id").alias("end"), F.col("end").alias("further"), F.col("steps").alias("more"))
+        moved = checkpoint(now.join(further, "end", "left").select("id", F.coalesce("further", "end").alias("end"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("further").isNotNull().alias("open")))
+        free(now)
+        total, open_ends = moved.count(), moved.filter("open").count()
+        now = moved.select("id", "end", "steps")
+        now._table_path = moved._table_path
+        # whoever is still open after as many doublings as the number of ids allows is on a cycle or behind one
+        if not open_ends or moved.filter("open").agg(F.min("steps")).first()[0] > total:
+            return moved.filter(~F.col("open")).select("id", "end", "steps")

@@ -2,79 +2,82 @@
 
 Pairs of nodes are expanded from the pair of roots by matching edges on label
 and key; a pair differs locally if the nodes' own attributes do or if an edge
-has no partner; what reaches a local difference is unequal. That is free of
-any traversal order, so cycles need no component finder.
+has no partner; what reaches a local difference is unequal. Nodes of different
+kinds, or of named kinds with different names, are incomparable: their pair
+differs and nothing below it is compared. That is free of any traversal order,
+so cycles need no component finder. Every level is a table of its own.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from symlattice.session import checkpoint
 
+#: Kinds whose nodes are comparable only under one name.
+NAMED = ("primitive", "struct_union", "enumeration")
+
+
+def union(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
+
 
 def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(id) of the nodes reached from roots (id), by frontier joins."""
     edges = checkpoint(edges.select("src", "dst").distinct())
-    seen = checkpoint(roots.select("id").distinct())
-    frontier = seen
-    while not frontier.isEmpty():
-        step = edges.join(frontier, edges["src"] == frontier["id"]).select(F.col("dst").alias("id")).distinct()
-        frontier = checkpoint(step.join(seen, "id", "left_anti"))
-        seen = checkpoint(seen.unionByName(frontier))
-    return seen
+    levels = [checkpoint(roots.select("id").distinct())]
+    while not levels[-1].isEmpty():
+        step = edges.join(levels[-1].withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id")).distinct()
+        levels.append(checkpoint(step.join(union(levels), "id", "left_anti")))
+    return union(levels)
 
 
 class Comparison:
     """The pairs, matched edges and verdicts of two graphs (nodes, edges) from their roots."""
 
     def __init__(self, nodes: tuple[DataFrame, DataFrame], edges: tuple[DataFrame, DataFrame], roots: tuple[int, int]):
-        self.nodes = nodes
-        # every level joins its own pairs with the edges, so those are computed once
-        self.edges = tuple(checkpoint(e.select("src", "label", "key", "dst")) for e in edges)
+        # every level joins its own pairs with the edges, so those are computed once; tag is what makes nodes comparable
+        self.nodes = tuple(checkpoint(n.select("id", "kind", "local", F.struct("kind", F.when(F.col("kind").isin(*NAMED), F.col("name")).alias("name")).alias("tag"))) for n in nodes)
+        self.edges = tuple(checkpoint(e.select("src", "label", "key", "dst").join(n.select(F.col("id").alias("dst"), "tag"), "dst", "left")) for e, n in zip(edges, self.nodes, strict=True))
         spark = nodes[0].sparkSession
-        frontier = checkpoint(spark.createDataFrame([roots], "a long, b long"))
-        seen, links = frontier, []
-        while not frontier.isEmpty():
-            matched = checkpoint(self._match(frontier))
-            links.append(matched)
-            step = matched.filter("ca is not null and cb is not null").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
-            frontier = checkpoint(step.join(seen, ["a", "b"], "left_anti"))
-            seen = checkpoint(seen.unionByName(frontier))
-        self.pairs = seen
-        links_all = links[0]
-        for more in links[1:]:
-            links_all = links_all.unionByName(more)
-        self.links = checkpoint(links_all)
+        tags = [n.filter(F.col("id") == r).select(F.col("tag").alias(t)) for n, r, t in zip(self.nodes, roots, ("ta", "tb"), strict=True)]
+        first = spark.createDataFrame([roots], "a long, b long").join(tags[0], F.lit(True), "left").join(tags[1], F.lit(True), "left")  # one row each
+        levels, links = [checkpoint(first.select("a", "b", F.col("ta").eqNullSafe(F.col("tb")).alias("comparable")))], []
+        while not levels[-1].isEmpty():
+            links.append(checkpoint(self._match(levels[-1].filter("comparable"))))
+            step = links[-1].filter("ca is not null and cb is not null").select(F.col("ca").alias("a"), F.col("cb").alias("b"), "comparable").distinct()
+            levels.append(checkpoint(step.join(union(levels).select("a", "b"), ["a", "b"], "left_anti")))
+        self.every, self.links = union(levels), union(links)
+        self.pairs = self.every.select("a", "b")
 
     def _match(self, frontier: DataFrame) -> DataFrame:
-        """(a, b, label, key, ca, cb): the edges of each pair, full outer by label and key."""
+        """(a, b, label, key, ca, cb, comparable): the edges of each pair, full outer by label and key."""
         x, y = self.edges
-        left = frontier.join(x, F.col("a") == F.col("src")).select("a", "b", "label", "key", F.col("dst").alias("ca"))
-        right = frontier.join(y, F.col("b") == F.col("src")).select("a", "b", "label", "key", F.col("dst").alias("cb"))
-        return left.join(right, ["a", "b", "label", "key"], "full_outer")
+        left = frontier.join(x, F.col("a") == F.col("src")).select("a", "b", "label", "key", F.col("dst").alias("ca"), F.col("tag").alias("ta"))
+        right = frontier.join(y, F.col("b") == F.col("src")).select("a", "b", "label", "key", F.col("dst").alias("cb"), F.col("tag").alias("tb"))
+        return left.join(right, ["a", "b", "label", "key"], "full_outer").select("a", "b", "label", "key", "ca", "cb", F.col("ta").eqNullSafe(F.col("tb")).alias("comparable"))
 
     def local(self) -> DataFrame:
-        """(a, b) that differ by themselves."""
-        x, y = (n.select(F.col("id").alias(c), F.col("kind").alias(f"kind_{c}"), F.col("local").alias(f"local_{c}")) for n, c in zip(self.nodes, "ab", strict=True))
-        own = self.pairs.join(x, "a").join(y, "b").filter((F.col("kind_a") != F.col("kind_b")) | ~F.col("local_a").eqNullSafe(F.col("local_b"))).select("a", "b")
+        """(a, b) that are incomparable or differ by themselves."""
+        x, y = (n.select(F.col("id").alias(c), F.col("local").alias(f"local_{c}")) for n, c in zip(self.nodes, "ab", strict=True))
+        own = self.every.join(x, "a").join(y, "b").filter(~F.col("comparable") | ~F.col("local_a").eqNullSafe(F.col("local_b"))).select("a", "b")
         return own.unionByName(self.links.filter("ca is null or cb is null").select("a", "b")).distinct()
 
     def unequal(self) -> DataFrame:
         """(a, b) from which a local difference is reachable."""
         back = checkpoint(self.links.filter("ca is not null and cb is not null").select("a", "b", "ca", "cb").distinct())
-        bad = checkpoint(self.local())
-        frontier = bad
-        while not frontier.isEmpty():
-            step = back.join(frontier.select(F.col("a").alias("ca"), F.col("b").alias("cb")), ["ca", "cb"]).select("a", "b").distinct()
-            frontier = checkpoint(step.join(bad, ["a", "b"], "left_anti"))
-            bad = checkpoint(bad.unionByName(frontier))
-        return bad
+        levels = [checkpoint(self.local())]
+        while not levels[-1].isEmpty():
+            step = back.join(levels[-1].select(F.col("a").alias("ca"), F.col("b").alias("cb")), ["ca", "cb"]).select("a", "b").distinct()
+            levels.append(checkpoint(step.join(union(levels), ["a", "b"], "left_anti")))
+        return union(levels)
 
     def outcomes(self) -> DataFrame:
         """(a, b, label, key, change): the details of every unequal pair: one-sided edges, and edges to unequal pairs."""
-        bad = checkpoint(self.unequal())
+        bad = self.unequal()
         ends = bad.select(F.col("a").alias("ca"), F.col("b").alias("cb"), F.lit(True).alias("differs"))
         change = F.when(F.col("cb").isNull(), "removed").when(F.col("ca").isNull(), "added").when(F.col("differs"), "changed")
         return self.links.join(bad, ["a", "b"], "left_semi").join(ends, ["ca", "cb"], "left").select("a", "b", "label", "key", change.alias("change")).filter("change is not null")
@@ -82,12 +85,12 @@ class Comparison:
 
 def colours(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, colour): classes of nodes that no sequence of edges tells apart, by refinement until the number of classes stands still."""
-    base = checkpoint(nodes.select("id", F.sha2(F.concat_ws("|", "kind", "local"), 256).alias("base")))
+    base = checkpoint(nodes.select("id", F.sha2(F.to_json(F.struct("kind", "local")), 256).alias("base")))
     edges = checkpoint(edges.select("src", "label", "key", "dst"))
     now = checkpoint(base.withColumnRenamed("base", "colour"))
     classes = now.select("colour").distinct().count()
     while True:
-        ends = edges.join(now.select(F.col("id").alias("dst"), "colour"), "dst").select("src", F.concat_ws("|", "label", "key", "colour").alias("edge"))
+        ends = edges.join(now.select(F.col("id").alias("dst"), "colour"), "dst").select("src", F.to_json(F.struct("label", "key", "colour")).alias("edge"))
         # sums of halves of two hashes: free of order, partial aggregates, and no overflow below 2**31 edges
         halves = [h for k in (0, 1) for x in [F.xxhash64(F.lit(k), "edge", F.lit(k))] for h in (F.shiftrightunsigned(x, 32), x.bitwiseAND(F.lit(0xFFFFFFFF)))]
         below = ends.groupBy("src").agg(F.count("*").alias("n"), *(F.sum(h).alias(f"h{i}") for i, h in enumerate(halves)))

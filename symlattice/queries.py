@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from symlattice.functions.filters import compile_filter
 from symlattice.functions.hashing import combine, fnv1a, hex32, mix32
 from symlattice.operators import diff
-from symlattice.operators.fixpoint import components
+from symlattice.operators.fixpoint import chains, components
 from symlattice.plans.compare import Comparison, colours, reachable
 from symlattice.session import table
 from symlattice.sources.tables import KIND_RANGE, KINDS, VERSION_RANGE, TableGraph
@@ -27,7 +27,7 @@ def _sym(v: int) -> str:
 
 
 def _par(v: int) -> str:
-    return f"par{v} AS (SELECT o_custkey AS cust, {13 * KIND_RANGE + v * VERSION_RANGE} + o_custkey AS function_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS pos, o_orderkey AS ord, {2 * KIND_RANGE + v * VERSION_RANGE} + o_orderkey AS type_id FROM orders)"
+    return f"par{v} AS (SELECT o_custkey AS cust, {13 * KIND_RANGE + v * VERSION_RANGE} + o_custkey AS function_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS pos, o_orderkey AS ord, {2 * KIND_RANGE + v * VERSION_RANGE} + o_orderkey AS type_id FROM orders{" WHERE o_orderkey % 73 <> 3" if v else ""})"
 
 
 def _st(v: int) -> str:
@@ -53,15 +53,18 @@ def _prim(v: int) -> str:
 def _graph(v: int) -> str:
     i, f, p = (k * KIND_RANGE + v * VERSION_RANGE for k in (15, 13, 2))
     return ", ".join([_sym(v), _par(v), _st(v), _mem(v), _prim(v)]) + (
-        f", node{v} AS (SELECT id, 'elf_symbol' AS kind, name || '|' || binding || '|' || crc AS local FROM sym{v} UNION ALL SELECT {f} + c_custkey, 'function', '' FROM customer UNION ALL SELECT {p} + o_orderkey, 'pointer_reference', 'POINTER' FROM orders UNION ALL SELECT id, 'struct_union', name || '|' || coalesce(CAST(bytesize AS VARCHAR), '-') FROM st{v} UNION ALL SELECT id, 'member', name || '|' || off FROM mem{v} UNION ALL SELECT id, 'typedef', name FROM td{v} UNION ALL SELECT id, 'primitive', name || '|' || bytesize FROM prim{v} UNION ALL SELECT {i}, 'interface', '')"
+        f", node{v} AS (SELECT id, 'elf_symbol' AS kind, name || '|' || binding || '|' || crc AS local, '' AS tag FROM sym{v} UNION ALL SELECT {f} + c_custkey, 'function', '', '' FROM customer UNION ALL SELECT {p} + o_orderkey, 'pointer_reference', 'POINTER', '' FROM orders UNION ALL SELECT id, 'struct_union', name || '|' || coalesce(CAST(bytesize AS VARCHAR), '-'), name FROM st{v} UNION ALL SELECT id, 'member', name || '|' || off, '' FROM mem{v} UNION ALL SELECT id, 'typedef', name, '' FROM td{v} UNION ALL SELECT id, 'primitive', name || '|' || bytesize, name FROM prim{v} UNION ALL SELECT {i}, 'interface', '', '')"
         f", edge{v} AS (SELECT {i} AS src, 'symbol' AS label, name AS key, id AS dst FROM sym{v} UNION ALL SELECT id, 'type', '', type_id FROM sym{v} UNION ALL SELECT {f} + c_custkey, 'return', '', {6 * KIND_RANGE + v * VERSION_RANGE} + 1000 + c_nationkey FROM customer UNION ALL SELECT function_id, 'parameter', CAST(pos AS VARCHAR), type_id FROM par{v} UNION ALL SELECT {p} + o_orderkey, 'pointee', '', {11 * KIND_RANGE + v * VERSION_RANGE} + o_orderkey FROM orders UNION ALL SELECT struct_id, 'member', mem{v}.name || '#' || nth, mem{v}.id FROM mem{v} JOIN st{v} ON st{v}.id = struct_id AND bytesize IS NOT NULL UNION ALL SELECT id, 'type', '', type_id FROM mem{v} UNION ALL SELECT id, 'referred', '', referred FROM td{v})"
     )
 
 
+#: Edges with what makes their ends comparable; pairs that aren't are not followed.
+_EDGED = ", ".join(f"edged{v} AS MATERIALIZED (SELECT src, label, key, dst, kind || ':' || tag AS t FROM edge{v} JOIN node{v} ON id = dst)" for v in (0, 1))
 _PAIRS = (
-    f"WITH RECURSIVE {_graph(0)}, {_graph(1)}, pairs AS (SELECT CAST({15 * KIND_RANGE} AS BIGINT) AS a, CAST({15 * KIND_RANGE + VERSION_RANGE} AS BIGINT) AS b UNION SELECT x.dst, y.dst FROM pairs JOIN edge0 x ON x.src = a JOIN edge1 y ON y.src = b AND x.label = y.label AND x.key = y.key), "
-    "links AS (SELECT coalesce(l.a, r.a) AS a, coalesce(l.b, r.b) AS b, coalesce(l.label, r.label) AS label, coalesce(l.key, r.key) AS key, ca, cb FROM (SELECT a, b, label, key, dst AS ca FROM pairs JOIN edge0 ON src = a) l FULL JOIN (SELECT a, b, label, key, dst AS cb FROM pairs JOIN edge1 ON src = b) r ON l.a = r.a AND l.b = r.b AND l.label = r.label AND l.key = r.key), "
-    "local AS (SELECT a, b FROM pairs JOIN node0 x ON x.id = a JOIN node1 y ON y.id = b WHERE x.kind <> y.kind OR x.local <> y.local UNION SELECT a, b FROM links WHERE ca IS NULL OR cb IS NULL), "
+    f"WITH RECURSIVE {_graph(0)}, {_graph(1)}, {_EDGED}, pairs AS (SELECT CAST({15 * KIND_RANGE} AS BIGINT) AS a, CAST({15 * KIND_RANGE + VERSION_RANGE} AS BIGINT) AS b, true AS comparable UNION SELECT x.dst, y.dst, x.t = y.t FROM pairs JOIN edged0 x ON x.src = a JOIN edged1 y ON y.src = b AND x.label = y.label AND x.key = y.key WHERE comparable), "
+    "open AS (SELECT a, b FROM pairs WHERE comparable), "
+    "links AS (SELECT coalesce(l.a, r.a) AS a, coalesce(l.b, r.b) AS b, coalesce(l.label, r.label) AS label, coalesce(l.key, r.key) AS key, ca, cb FROM (SELECT a, b, label, key, dst AS ca FROM open JOIN edge0 ON src = a) l FULL JOIN (SELECT a, b, label, key, dst AS cb FROM open JOIN edge1 ON src = b) r ON l.a = r.a AND l.b = r.b AND l.label = r.label AND l.key = r.key), "
+    "local AS (SELECT a, b FROM pairs JOIN node0 x ON x.id = a JOIN node1 y ON y.id = b WHERE NOT comparable OR x.local <> y.local UNION SELECT a, b FROM links WHERE ca IS NULL OR cb IS NULL), "
     "bad AS (SELECT a, b FROM local UNION SELECT l.a, l.b FROM links l JOIN bad ON l.ca = bad.a AND l.cb = bad.b) "
 )
 
@@ -372,3 +375,121 @@ def symbol_ids(spark, sf_dir):
     """Stable 32-bit ids of symbols: a tag combined with the hash of the name."""
     s = TableGraph(spark, sf_dir, 0).symbols()
     return s.select("name", hex32(combine(mix32(F.lit(ord("s")).cast("long")), fnv1a(F.col("name")))).alias("hash_id"))
+
+
+# ---- matching and differences of two versions
+
+
+@query("parameter_diff", f"WITH {_par(0)}, {_par(1)} SELECT coalesce(a.cust, b.cust) AS cust, coalesce(a.pos, b.pos) AS pos, a.ord AS old_ord, b.ord AS new_ord, CASE WHEN b.ord IS NULL THEN 'removed' WHEN a.ord IS NULL THEN 'added' ELSE 'changed' END AS status FROM par0 a FULL JOIN par1 b ON a.cust = b.cust AND a.pos = b.pos WHERE a.ord IS DISTINCT FROM b.ord")
+def parameter_diff(spark, sf_dir):
+    """Parameters of the functions of two versions by position; the longer list's tail is added or removed."""
+    of = lambda g, c, kind: (F.col(c) - KINDS[kind] * KIND_RANGE - g.version * VERSION_RANGE).cast("long")
+    sides = [g.parameters().select(of(g, "function_id", "function").alias("cust"), "pos", of(g, "type_id", "pointer_reference").alias("ord")) for g in both(spark, sf_dir)]
+    found = diff.match(*sides, ["cust", "pos"]).withColumn("status", diff.status(F.col("old.ord") != F.col("new.ord")))
+    return found.filter("status <> 'same'").select("cust", "pos", F.col("old.ord").alias("old_ord"), F.col("new.ord").alias("new_ord"), "status")
+
+
+def _qualifier_sets(v: int) -> str:
+    return f"q{v} AS (" + " UNION ALL ".join(f"SELECT p_partkey AS part, '{q}' AS qualifier FROM part WHERE (p_size + {v}) % {n} = 0" for q, n in (("const", 2), ("volatile", 3), ("restrict", 5))) + ")"
+
+
+def _qualifiers(g: TableGraph) -> DataFrame:
+    """(part, qualifier): the sets that the chains of qualified types hold, and a null row for every part."""
+    links = g.qualifiers()
+    held = links.join(chains(links), "id").select((F.col("end") - KINDS["typedef"] * KIND_RANGE - g.version * VERSION_RANGE).alias("part"), "qualifier")
+    return held.unionByName(table(g.spark, g.sf_dir, "part").select(F.col("p_partkey").alias("part"), F.lit(None).cast("string").alias("qualifier")))
+
+
+@query("qualifier_diff", f"WITH {_qualifier_sets(0)}, {_qualifier_sets(1)} SELECT coalesce(a.part, b.part) AS part, coalesce(a.qualifier, b.qualifier) AS qualifier, 'qualifier ' || coalesce(a.qualifier, b.qualifier) || CASE WHEN b.part IS NULL THEN ' removed' ELSE ' added' END AS text FROM q0 a FULL JOIN q1 b ON a.part = b.part AND a.qualifier = b.qualifier WHERE a.part IS NULL OR b.part IS NULL")
+def qualifier_diff(spark, sf_dir):
+    """Qualifiers that a type gains or loses, whatever the order of the chain that holds them."""
+    a, b = (_qualifiers(g) for g in both(spark, sf_dir))
+    return diff.set_changes(a, b, ["part"], "qualifier", "qualifier")
+
+
+_ALIAS = "al{v} AS (SELECT p_partkey AS id, {to} AS next FROM part WHERE p_partkey > 0), ch{v} AS (SELECT id AS part, next, CAST(1 AS BIGINT) AS steps FROM al{v} UNION ALL SELECT part, al{v}.next, steps + 1 FROM ch{v} JOIN al{v} ON ch{v}.next = al{v}.id), en{v} AS (SELECT part, max(steps) AS steps, min(next) AS last FROM ch{v} GROUP BY part)"
+
+
+@query("typedef_chain_diff", "WITH RECURSIVE " + _ALIAS.format(v=0, to="p_partkey // 4") + ", " + _ALIAS.format(v=1, to="CASE WHEN p_partkey % 7 = 0 THEN p_partkey - 1 ELSE p_partkey // 4 END") + " SELECT 'part_' || a.part AS name, a.steps AS old_steps, b.steps AS new_steps, b.last AS resolved FROM en0 a JOIN en1 b USING (part) WHERE a.steps <> b.steps")
+def typedef_chain_diff(spark, sf_dir):
+    """Typedefs whose chain of typedefs is longer or shorter than before, with the part that they resolve to."""
+    sides = []
+    for g in both(spark, sf_dir):
+        links = g.aliases()
+        sides.append(links.select("id", "name").join(chains(links), "id").select("name", "steps", (F.col("end") - KINDS["typedef"] * KIND_RANGE - g.version * VERSION_RANGE).alias("end")))
+    found = diff.match(*sides, ["name"]).filter(F.col("old.steps") != F.col("new.steps"))
+    return found.select("name", F.col("old.steps").alias("old_steps"), F.col("new.steps").alias("new_steps"), F.col("new.end").alias("resolved"))
+
+
+@query("anonymous_keys", f"WITH {_mem(0)}, named AS (SELECT ord, arg_min(name, pos) || '+' AS key FROM mem0 WHERE type_id % 2 = 1 GROUP BY ord), k AS (SELECT o_custkey AS cust, o_orderkey AS ord, coalesce(key, '') AS key FROM orders LEFT JOIN named ON o_orderkey = ord) SELECT cust, ord, CASE WHEN key = '' THEN '#anon#' || (row_number() OVER (PARTITION BY cust, key = '' ORDER BY ord) - 1) ELSE key END AS key FROM k")
+def anonymous_keys(spark, sf_dir):
+    """Matching keys of nameless structs: the first named member with a plus, else a number among those without; members of even parts are nameless too."""
+    g = TableGraph(spark, sf_dir, 0)
+    named = g.members().filter("type_id % 2 = 1").groupBy("struct_id").agg(F.min(F.struct("pos", "name")).alias("first"))
+    named = named.select((F.col("struct_id") - KINDS["struct_union"] * KIND_RANGE).alias("ord"), F.concat("first.name", F.lit("+")).alias("key"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("cust"), F.col("o_orderkey").alias("ord"))
+    return diff.anonymous_keys(orders.join(named, "ord", "left").select("cust", "ord", F.coalesce("key", F.lit("")).alias("key")), ["cust"], ["ord"], "key")
+
+
+_DIFFERENCES = (
+    f"{_sym(0)}, {_sym(1)}, {_st(0)}, {_st(1)}, {_qualifier_sets(0)}, {_qualifier_sets(1)}, d AS ("
+    "SELECT CASE WHEN a.name IS NULL THEN 'interface_addition' END AS what, a.name IS NULL AS added FROM sym0 a FULL JOIN sym1 b ON a.name = b.name WHERE a.name IS NULL OR b.name IS NULL "
+    "UNION ALL SELECT NULL, false FROM sym0 a JOIN sym1 b ON a.name = b.name WHERE a.binding <> b.binding "
+    "UNION ALL SELECT 'linux_symbol_crc', false FROM sym0 a JOIN sym1 b ON a.name = b.name WHERE a.crc <> b.crc "
+    "UNION ALL SELECT 'type_declaration_status', b.bytesize IS NOT NULL FROM st0 a JOIN st1 b ON a.name = b.name WHERE (a.bytesize IS NULL) <> (b.bytesize IS NULL) "
+    "UNION ALL SELECT 'qualifier', b.part IS NOT NULL FROM q0 a FULL JOIN q1 b ON a.part = b.part AND a.qualifier = b.qualifier WHERE a.part IS NULL OR b.part IS NULL)"
+)
+
+
+def differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(what, added): every difference of symbols, definitions and qualifiers, by the flag that covers it."""
+    a, b = both(spark, sf_dir)
+    symbols = diff.match(*(g.symbols().select("name", "binding", "crc") for g in (a, b)), ["name"])
+    both_there = symbols.filter("old is not null and new is not null")
+    structs = diff.match(*(g.structs().select("name", "bytesize") for g in (a, b)), ["name"]).filter("(old.bytesize is null) <> (new.bytesize is null)")
+    row = lambda df, what, added: df.select(F.lit(what).cast("string").alias("what") if what is None or isinstance(what, str) else what.alias("what"), added.alias("added"))
+    parts = [
+        row(symbols.filter("old is null or new is null"), F.when(F.col("old").isNull(), "interface_addition"), F.col("old").isNull()),
+        row(both_there.filter("old.binding <> new.binding"), None, F.lit(False)),
+        row(both_there.filter("old.crc <> new.crc"), "linux_symbol_crc", F.lit(False)),
+        row(structs, "type_declaration_status", F.col("new.bytesize").isNotNull()),
+        row(qualifier_diff(spark, sf_dir), "qualifier", F.col("text").endswith("added")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query("ignored_differences", f"WITH {_DIFFERENCES}, f AS (SELECT unnest({list(diff.IGNORES)!r}) AS flag) SELECT flag, count(*) AS heeded FROM d, f WHERE NOT coalesce(CASE WHEN flag = 'type_definition_addition' THEN what = 'type_declaration_status' AND added WHEN flag = 'interface_addition' THEN what = flag AND added ELSE what = flag END, false) GROUP BY flag")
+def ignored_differences(spark, sf_dir):
+    """How many differences count under each of the nine ignore flags, in one pass."""
+    flags = F.array(*(F.struct(F.lit(f).alias("flag"), diff.heeded(F.col("what"), F.col("added"), {f}).alias("heeded")) for f in diff.IGNORES))
+    found = differences(spark, sf_dir).select(F.explode(flags).alias("x"))
+    return found.filter("x.heeded").groupBy(F.col("x.flag").alias("flag")).agg(F.count("*").alias("heeded"))
+
+
+# ---- edges rewritten
+
+
+@query("merged_edges", f"WITH {_mem(0)}, {_prim(0)}, {_mem(1)}, {_prim(1)} SELECT id AS src, 'type' AS label, type_id AS dst FROM mem0 UNION SELECT id, 'referred', referred FROM td0 UNION SELECT mem1.id, 'type', td0.id FROM mem1 JOIN td1 ON type_id = td1.id JOIN td0 ON td0.name = td1.name UNION SELECT td0.id, 'referred', prim0.id FROM td1 JOIN td0 ON td0.name = td1.name JOIN prim1 ON td1.referred = prim1.id JOIN prim0 ON prim0.name = prim1.name")
+def merged_edges(spark, sf_dir):
+    """Version 1 merged into version 0: typedefs and primitives of one name become one, and the edges of members and typedefs follow."""
+    a, b = both(spark, sf_dir)
+    named = lambda g, kind: getattr(g, kind)().select("id", F.lit(kind).alias("kind"), "name")
+    old, new = (named(g, "typedefs").unionByName(named(g, "primitives")) for g in (a, b))
+    mapping = new.join(old.withColumnRenamed("id", "to"), ["kind", "name"]).select("id", "to")
+    edge = lambda df, src, label, dst: df.select(F.col(src).alias("src"), F.lit(label).alias("label"), F.lit("").alias("key"), F.col(dst).alias("dst"))
+    sides = [edge(g.members(), "id", "type", "type_id").unionByName(edge(g.typedefs(), "id", "referred", "referred_type_id")) for g in (a, b)]
+    return sides[0].unionByName(diff.remap(sides[1], mapping)).distinct().select("src", "label", "dst")
+
+
+@query("resolved_edges", f"WITH {_st(0)}, {_st(1)}, p AS (SELECT {2 * KIND_RANGE} + o_orderkey AS src, {11 * KIND_RANGE} + o_orderkey AS old_dst FROM orders UNION ALL SELECT {2 * KIND_RANGE + VERSION_RANGE} + o_orderkey, {11 * KIND_RANGE + VERSION_RANGE} + o_orderkey FROM orders), s AS (SELECT * FROM st0 UNION ALL SELECT * FROM st1), d AS (SELECT name, min(id) AS id FROM s WHERE bytesize IS NOT NULL GROUP BY name HAVING count(*) = 1) SELECT src, old_dst, d.id AS dst FROM p JOIN s ON s.id = old_dst AND s.bytesize IS NULL JOIN d ON d.name = s.name")
+def resolved_edges(spark, sf_dir):
+    """Pointers to structs that are only declared, moved to the one definition that the two versions have of the name."""
+    a, b = both(spark, sf_dir)
+    structs = a.structs().unionByName(b.structs()).select("id", "name", "bytesize")
+    defined = structs.filter("bytesize is not null").groupBy("name").agg(F.min("id").alias("to"), F.count("*").alias("n")).filter("n = 1").select("name", "to")
+    mapping = structs.filter("bytesize is null").join(defined, "name").select(F.col("id").alias("old_dst"), F.col("to").alias("dst"))
+    pointers = a.pointers().unionByName(b.pointers()).select(F.col("id").alias("src"), F.col("pointee_type_id").alias("old_dst"))
+    return pointers.join(mapping, "old_dst").select("src", "old_dst", "dst")

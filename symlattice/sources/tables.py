@@ -14,10 +14,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from symlattice.session import table
+from symlattice.session import checkpoint, table
 
 #: Number of each node kind; ids of a kind lie in a range of their own.
-KINDS = {"pointer_reference": 2, "typedef": 4, "primitive": 6, "member": 10, "struct_union": 11, "enumeration": 12, "function": 13, "elf_symbol": 14, "interface": 15}
+KINDS = {"pointer_reference": 2, "typedef": 4, "qualified": 5, "primitive": 6, "member": 10, "struct_union": 11, "enumeration": 12, "function": 13, "elf_symbol": 14, "interface": 15}
 KIND_RANGE, VERSION_RANGE = 10**12, 5 * 10**11
 
 
@@ -32,6 +32,7 @@ class TableGraph:
     spark: SparkSession
     sf_dir: str
     version: int
+    kept: DataFrame | None = None
 
     def _read(self, name: str) -> DataFrame:
         return table(self.spark, self.sf_dir, name)
@@ -50,9 +51,11 @@ class TableGraph:
         return self._read("customer").select(node_id("function", self.version, F.col("c_custkey")).alias("id"), node_id("primitive", self.version, F.col("c_nationkey") + 1000).alias("return_type_id"))
 
     def parameters(self) -> DataFrame:
-        """(function_id, pos, type_id): pointers to a customer's orders, in order of key."""
+        """(function_id, pos, type_id): pointers to a customer's orders, in order of key; version 1 lacks some."""
         w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
-        return self._read("orders").select("o_custkey", "o_orderkey").select(node_id("function", self.version, F.col("o_custkey")).alias("function_id"), F.row_number().over(w).cast("long").alias("pos"), node_id("pointer_reference", self.version, F.col("o_orderkey")).alias("type_id"))
+        rows = self._read("orders").select("o_custkey", "o_orderkey")
+        rows = rows.filter("o_orderkey % 73 <> 3") if self.version else rows
+        return rows.select(node_id("function", self.version, F.col("o_custkey")).alias("function_id"), F.row_number().over(w).cast("long").alias("pos"), node_id("pointer_reference", self.version, F.col("o_orderkey")).alias("type_id"))
 
     def pointers(self) -> DataFrame:
         key = F.col("o_orderkey")
@@ -73,6 +76,12 @@ class TableGraph:
         rows = self._read("lineitem").select("l_orderkey", *order).withColumn("pos", pos)
         return rows.select(node_id("member", self.version, key * 64 + F.col("pos")).alias("id"), node_id("struct_union", self.version, key).alias("struct_id"), "pos", F.concat(F.lit("l_"), F.col("l_linenumber").cast("string")).alias("name"), ((F.col("l_linenumber") - 1) * 64 + F.when(key % 31 == 0, moved).otherwise(0)).cast("long").alias("offset"), node_id("typedef", self.version, F.col("l_partkey")).alias("type_id"))
 
+    def _members(self) -> DataFrame:
+        """members() as a table: nodes and edges need it three times."""
+        if self.kept is None:
+            self.kept = checkpoint(self.members())
+        return self.kept
+
     def primitives(self) -> DataFrame:
         """Part types by rank, then nations; version 1 widens the first part type."""
         kinds = self._read("part").select("p_type").distinct().withColumn("rank", F.row_number().over(Window.orderBy("p_type")).cast("long"))  # a handful of types
@@ -86,6 +95,20 @@ class TableGraph:
         kinds = names.select("p_type").distinct().withColumn("rank", F.row_number().over(Window.orderBy("p_type")).cast("long"))
         return names.join(kinds, "p_type").select(node_id("typedef", self.version, F.col("p_partkey")).alias("id"), F.concat(F.lit("part_"), F.col("p_partkey").cast("string")).alias("name"), node_id("primitive", self.version, F.col("rank")).alias("referred_type_id"))
 
+    def qualifiers(self) -> DataFrame:
+        """(id, qualifier, next): chains of qualified types over a part's typedef, by its size; version 1 shifts the sizes."""
+        size = F.col("p_size") + self.version
+        held = F.filter(F.array(F.when(size % 2 == 0, "const"), F.when(size % 3 == 0, "volatile"), F.when(size % 5 == 0, "restrict")), lambda q: q.isNotNull())
+        each = self._read("part").select("p_partkey", held.alias("held")).select("p_partkey", "held", F.posexplode("held").alias("at", "qualifier"))
+        here = lambda n: node_id("qualified", self.version, F.col("p_partkey") * 4 + n)
+        return each.select(here(F.col("at")).alias("id"), "qualifier", F.when(F.col("at") + 1 < F.size("held"), here(F.col("at") + 1)).otherwise(node_id("typedef", self.version, F.col("p_partkey"))).alias("next"))
+
+    def aliases(self) -> DataFrame:
+        """(id, name, next): typedefs of typedefs, part k of part k // 4; version 1 points every seventh at its predecessor instead. Part 0 is a primitive's."""
+        key, v = F.col("p_partkey"), self.version
+        to = F.when(F.lit(v == 1) & (key % 7 == 0), key - 1).otherwise(F.floor(key / 4))
+        return self._read("part").filter("p_partkey > 0").select(node_id("typedef", v, key).alias("id"), F.concat(F.lit("part_"), key.cast("string")).alias("name"), node_id("typedef", v, to).alias("next"))
+
     def enumerators(self) -> DataFrame:
         """(enum_id, enum_name, pos, name, value); version 1 renames nation 3 and drops nation 7."""
         rows = self._read("region").join(self._read("nation"), F.col("r_regionkey") == F.col("n_regionkey"))
@@ -95,8 +118,8 @@ class TableGraph:
         return rows.select(node_id("enumeration", self.version, F.col("r_regionkey")).alias("enum_id"), F.col("r_name").alias("enum_name"), pos.alias("pos"), name.alias("name"), F.col("n_nationkey").cast("long").alias("value"))
 
     def nodes(self) -> DataFrame:
-        """(id, kind, name, local): ``local`` is everything that is compared in the node itself."""
-        text = lambda *cs: F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in cs))
+        """(id, kind, name, local): ``local`` is everything that is compared in the node itself, as JSON, which tells null from any text."""
+        text = lambda *cs: F.to_json(F.struct(*cs))
         of = lambda df, kind, name, local: df.select("id", F.lit(kind).alias("kind"), name.alias("name"), local.alias("local"))
         none = F.lit("")
         parts = [
@@ -104,7 +127,7 @@ class TableGraph:
             of(self.functions(), "function", none, none),
             of(self.pointers(), "pointer_reference", none, F.col("kind")),
             of(self.structs(), "struct_union", F.col("name"), text("kind", "name", "bytesize")),
-            of(self.members(), "member", F.col("name"), text("name", "offset")),
+            of(self._members(), "member", F.col("name"), text("name", "offset")),
             of(self.typedefs(), "typedef", F.col("name"), F.col("name")),
             of(self.primitives(), "primitive", F.col("name"), text("name", "bytesize")),
             self.spark.range(1).select(node_id("interface", self.version, F.lit(0)).alias("id"), F.lit("interface").alias("kind"), F.lit("").alias("name"), F.lit("").alias("local")),
@@ -125,8 +148,8 @@ class TableGraph:
             one(self.functions(), "id", "return", "return_type_id"),
             self.parameters().select(F.col("function_id").alias("src"), F.lit("parameter").alias("label"), F.col("pos").cast("string").alias("key"), F.col("type_id").alias("dst")),
             one(self.pointers(), "id", "pointee", "pointee_type_id"),
-            self.members().join(whole, "struct_id", "left_semi").select(F.col("struct_id").alias("src"), F.lit("member").alias("label"), F.concat_ws("#", "name", occurrence.cast("string")).alias("key"), F.col("id").alias("dst")),
-            one(self.members(), "id", "type", "type_id"),
+            self._members().join(whole, "struct_id", "left_semi").select(F.col("struct_id").alias("src"), F.lit("member").alias("label"), F.concat_ws("#", "name", occurrence.cast("string")).alias("key"), F.col("id").alias("dst")),
+            one(self._members(), "id", "type", "type_id"),
             one(self.typedefs(), "id", "referred", "referred_type_id"),
         ]
         out = parts[0]

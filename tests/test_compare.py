@@ -66,3 +66,26 @@ def test_colours_and_reach(spark):
     found = {r["id"]: r["colour"] for r in colours(n, e).collect()}
     assert found[0] == found[1] == found[2] and len({found[i] for i in (0, 3, 4, 5, 9)}) == 5
     assert {r["id"] for r in reachable(e, spark.createDataFrame([(3,)], "id long")).collect()} == {3, 4, 9}
+
+
+def test_incomparable_pairs_stop(spark):
+    """Nodes of different kinds, or named kinds of different names, differ, and nothing below them is compared."""
+    nodes = lambda at, kind, name: [(at, "interface", "", "{}"), (at + 1, kind, name, '{"x":"a|b"}'), (at + 2, "struct_union", "same", "{}"), (at + 3, "member", "m", "{}"), (at + 4, "typedef", "t", "null")]
+    edges = lambda at: [(at, "symbol", "p", at + 1), (at, "symbol", "q", at + 4), (at + 1, "type", "", at + 2), (at + 2, "member", "m", at + 3)]
+    for kind, name, below in (("struct_union", "one", True), ("struct_union", "other", False), ("primitive", "one", False)):
+        a, b = graph(spark, nodes(0, "struct_union", "one"), edges(0)), graph(spark, nodes(10, kind, name), edges(10))
+        c = Comparison((a[0], b[0]), (a[1], b[1]), (0, 10))
+        pairs = {tuple(r) for r in c.pairs.collect()}
+        assert ((2, 12) in pairs) == ((3, 13) in pairs) == below and (1, 11) in pairs and (4, 14) in pairs
+        assert {tuple(r) for r in c.unequal().collect()} == (set() if below else {(0, 10), (1, 11)})
+        assert {(r["label"], r["key"], r["change"]) for r in c.outcomes().collect()} == (set() if below else {("symbol", "p", "changed")})
+
+
+def test_attributes_are_told_apart(spark):
+    """Names that hold separators, and null against a text, are different attributes and colours."""
+    from pyspark.sql import functions as F
+
+    rows = [(1, "a|b", "c"), (2, "a", "b|c"), (3, None, "c"), (4, "-", "c"), (5, "a|b", "c")]
+    nodes = spark.createDataFrame(rows, "id long, x string, y string").select("id", F.lit("k").alias("kind"), F.to_json(F.struct("x", "y")).alias("local"))
+    found = {r["id"]: r["colour"] for r in colours(nodes, spark.createDataFrame([], "src long, label string, key string, dst long")).collect()}
+    assert len(set(found.values())) == 4 and found[1] == found[5]

@@ -34,7 +34,8 @@ def test_bad_expressions(bad):
 
 
 def test_symbol_lists():
-    assert read_list("zero\n[abi_symbol_list]\n one # first\n\n#two\n two\n[other]\nthree\n[more list]\none\nfour") == ["four", "one", "two"]
+    assert read_list("zero\n[abi_symbol_list]\n one # first\n\n#two\n two\n[other]\nthree\n[more list]\none\nfour") == ["four", "one", "one # first", "two"]
+    assert read_list("[x list]\nfoo#1\n  # no\n") == ["foo#1"]
 
 
 def python_mix(x):
@@ -60,3 +61,14 @@ def test_hashes(spark):
         assert r["c"] == f ^ (r["n"] + 0x9E3779B9 + (f << 6) + (f >> 2) & MASK)
         assert r["x"] == f"0x{r['n']:08x}"
     assert fnv("interface") == 0x84EA5130
+
+
+def test_filters_of_odd_words(spark):
+    """Ranges that end before they begin match nothing, and a colon is a token of its own."""
+    df = spark.createDataFrame([("z1",), ("a1",), ("-1",), ("b",), ("hidden",)], "s string")
+    keep = lambda e, lists=None: sorted(r["s"] for r in df.filter(compile_filter(e, F.col("s"), lists)).collect())
+    assert keep("[z-a]*") == [] and keep("[!z-a]") == ["b"] and keep("[a-]1") == ["-1", "a1"] and keep("[z-ab]*") == ["b"]
+    assert keep(": l", {"l": ["hidden"]}) == ["hidden"]
+    for bad in ("a:b", ":", ": &", "::l"):
+        with pytest.raises(FilterError):
+            compile_filter(bad, F.col("s"), {"b": [], "l": []})
