@@ -33,6 +33,21 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+#: Has a query's shuffle files removed from all executors when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def write(df: DataFrame, path: str) -> None:
+    """Write a table that is read from there on: the shuffles behind it are over and give their disk back at once, not when the driver collects garbage."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP)
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(CLEANUP, before)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Compute once and cut the lineage by a table in the shared folder: a lost executor costs nothing.
 
@@ -41,7 +56,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    write(df, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._table_path = path
     return out
