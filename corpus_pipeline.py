@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symlattice.llm import bpe, exact_dedup, minhash, mixing, queries, toxicity
-from symlattice.session import shared_dir, table
+from symlattice.session import shared_dir, table, write
 
 #: No SQL expresses the trained scores, the sketches or BPE.
 ORACLE_SQL = None
@@ -64,5 +64,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = stage(spark, docs, sf_dir)
         if k + 1 == len(STAGES):
             return out
-        out.write.parquet(f"{at}/{k}")
+        write(out, f"{at}/{k}")
         docs = spark.read.parquet(f"{at}/{k}")
