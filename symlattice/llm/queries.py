@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symlattice.llm import bpe, chat, exact_dedup, langid, learning, line_dedup, minhash, mixing, topk, toxicity, warc
+from symlattice.llm import bpe, chat, decontaminate, exact_dedup, langid, learning, line_dedup, minhash, mixing, topk, toxicity, warc
 from symlattice.session import table
 
 
@@ -126,6 +126,30 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
+def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = decontaminate.build(table(spark, sf_dir, "documents"))
+    found = decontaminate.contamination(index, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
+
+
+SQL_DECONTAMINATE = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), q AS (
+  SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(w[s:s + 9], ' ') AS phrase
+  FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS s FROM b WHERE len(w) > 0)
+), p AS (SELECT k, w, unnest(range(1, len(w) + 1)) AS s FROM d),
+h AS (
+  SELECT k, s, q.n, item FROM p JOIN (SELECT DISTINCT n FROM q) l ON s + l.n - 1 <= len(w) JOIN q ON q.n = l.n AND q.phrase = array_to_string(w[s:s + l.n - 1], ' ')
+), c AS (SELECT k, count(DISTINCT hit) AS n_hit FROM (SELECT k, unnest(range(s, s + n)) AS hit FROM (SELECT DISTINCT k, s, n FROM h)) GROUP BY k),
+i AS (SELECT k, list_sort(list(DISTINCT item)) AS items FROM h GROUP BY k)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, CAST(coalesce(len(items), 0) AS BIGINT) AS n_items, sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN c USING (k) LEFT JOIN i USING (k)
+"""
+
+
 QUERIES = {
     "op1_topk": op1_topk,
     "op2_exact_dedup": op2_exact_dedup,
@@ -137,5 +161,6 @@ QUERIES = {
     "op8_mix": op8_mix,
     "op9_minhash": op9_minhash,
     "op10_line_dedup": op10_line_dedup,
+    "op12_decontaminate": op12_decontaminate,
 }
-ORACLES = {"op1_topk": SQL_TOPK, "op2_exact_dedup": SQL_EXACT_DEDUP, "op3_warc": SQL_WARC, "op8_mix": SQL_MIX}
+ORACLES = {"op1_topk": SQL_TOPK, "op2_exact_dedup": SQL_EXACT_DEDUP, "op3_warc": SQL_WARC, "op8_mix": SQL_MIX, "op12_decontaminate": SQL_DECONTAMINATE}
