@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symlattice.llm import bpe, chat, decontaminate, exact_dedup, langid, learning, line_dedup, minhash, mixing, topk, toxicity, warc
+from symlattice.llm import bpe, chat, decontaminate, exact_dedup, langid, learning, line_dedup, minhash, mixing, spelling, topk, toxicity, warc
 from symlattice.session import table
 
 
@@ -150,6 +150,34 @@ FROM d LEFT JOIN c USING (k) LEFT JOIN i USING (k)
 """
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+# crc32 bit by bit in tables of 256; a word's deletions at each place are the keys on which near words meet
+SQL_SPELLING = r"""
+WITH RECURSIVE t AS (
+  SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce([CAST(i AS BIGINT)] || [CAST(0 AS BIGINT) FOR _ IN range(8)], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS c FROM range(256) r(i))
+), d AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run FROM documents
+), r AS (SELECT doc, run, count(*) AS m, encode(doc || ':' || run) AS e FROM d WHERE length(run) >= 7 GROUP BY ALL),
+h AS (
+  SELECT run, m, xor(list_reduce([CAST(4294967295 AS BIGINT)] || [CAST(ord(x) AS BIGINT) FOR x IN string_split(doc || ':', '')] || flatten([CASE WHEN ord(x) < 128 THEN [CAST(ord(x) AS BIGINT)] ELSE [CAST(192 + (ord(x) >> 6) AS BIGINT), CAST(128 + (ord(x) & 63) AS BIGINT)] END FOR x IN string_split(run, '')]), lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1])), 4294967295) AS h FROM r, t
+), w AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, CAST(h % length(run) AS INTEGER)) || substr(run, CAST(h % length(run) AS INTEGER) + 2) ELSE run END AS word, CAST(sum(m) AS BIGINT) AS n FROM h GROUP BY 1
+), v AS (SELECT word, n, length(word) AS len FROM w WHERE length(word) >= 7 AND n >= 2),
+x AS (SELECT word, n, len, i, substr(word, 1, i) || substr(word, i + 2) AS cut FROM (SELECT *, unnest(range(len)) AS i FROM v)),
+p AS (
+  SELECT DISTINCT * FROM (SELECT a.word AS a, a.n AS na, b.word AS b, b.n AS nb FROM x a JOIN x b ON a.cut = b.cut AND a.i = b.i AND a.word <> b.word
+  UNION ALL SELECT a.word, a.n, b.word, b.n FROM x a JOIN v b ON a.cut = b.word UNION ALL SELECT b.word, b.n, a.word, a.n FROM x a JOIN v b ON a.cut = b.word)
+), f AS (SELECT a AS word, count(*) AS n_near, arg_min(b, (-nb, b)) AS to_word, max(nb) AS to_n FROM p GROUP BY a),
+g AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN to_n >= 10 * n THEN to_word END AS form, CASE WHEN to_n >= 10 * n THEN to_n END AS form_n FROM v LEFT JOIN f USING (word)),
+c AS (SELECT word, form AS last, 1 AS step FROM g WHERE form IS NOT NULL UNION ALL SELECT c.word, g.form, step + 1 FROM c JOIN g ON g.word = c.last WHERE g.form IS NOT NULL),
+z AS (SELECT word, arg_max(last, step) AS root FROM c GROUP BY word)
+SELECT word, n, n_near, form, form_n, coalesce(root, word) AS root FROM g LEFT JOIN z USING (word)
+"""
+
+
 QUERIES = {
     "op1_topk": op1_topk,
     "op2_exact_dedup": op2_exact_dedup,
@@ -162,5 +190,6 @@ QUERIES = {
     "op9_minhash": op9_minhash,
     "op10_line_dedup": op10_line_dedup,
     "op12_decontaminate": op12_decontaminate,
+    "op13_spelling": op13_spelling,
 }
-ORACLES = {"op1_topk": SQL_TOPK, "op2_exact_dedup": SQL_EXACT_DEDUP, "op3_warc": SQL_WARC, "op8_mix": SQL_MIX, "op12_decontaminate": SQL_DECONTAMINATE}
+ORACLES = {"op1_topk": SQL_TOPK, "op2_exact_dedup": SQL_EXACT_DEDUP, "op3_warc": SQL_WARC, "op8_mix": SQL_MIX, "op12_decontaminate": SQL_DECONTAMINATE, "op13_spelling": SQL_SPELLING}
