@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symlattice.llm import bpe, chat, decontaminate, exact_dedup, langid, learning, line_dedup, minhash, mixing, spelling, topk, toxicity, warc
+from symlattice.llm import bpe, chat, decontaminate, exact_dedup, langid, learning, line_dedup, minhash, mixing, repair, spelling, topk, toxicity, warc
 from symlattice.session import table
 
 
@@ -126,6 +126,60 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(table(spark, sf_dir, "conversations"))
+
+
+def _sql_repair() -> str:
+    """The same by dynamic programming forwards: for each state the least text of cost and edits, a row of every conversation in a step."""
+    add = lambda x, cost, edit: f"(lpad(CAST(CAST(left({x}, 6) AS INTEGER) + {cost} AS VARCHAR), 6, '0') || substr({x}, 7) || '{edit}')"
+    to_user = lambda src: f"SELECT * REPLACE (least(n2, {add('n0', 2, 'I')}, {add('n1', 2, 'I')}, {add('n3', 2, 'I')}) AS n2) FROM ({src})"
+    to_assistant = lambda src: f"SELECT * REPLACE (least(n3, {add('n2', 2, 'I')}) AS n3) FROM ({src})"
+    inserted = lambda src: to_user(to_assistant(to_user(src)))
+    more = "CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END"
+    keep = lambda x, initial: f"CASE WHEN free AND initial = '{initial}' THEN {add(x, more, 'K')} END"
+    rerole = lambda x: f"CASE WHEN free THEN {add(x, f'(2 + {more})', 'R')} END"
+    fold = lambda xs, f: ", ".join(f(x) for x in xs)
+    stepped = (
+        f"SELECT c, pos + 1 AS pos, {add('n0', 3, 'D')} AS n0, least({add('n1', 3, 'D')}, {keep('n0', 's')}) AS n1, "
+        f"least({add('n2', 3, 'D')}, {fold(('n0', 'n1', 'n3'), lambda x: keep(x, 'u'))}, {fold(('n0', 'n1', 'n3'), rerole)}) AS n2, least({add('n3', 3, 'D')}, {keep('n2', 'a')}, {rerole('n2')}) AS n3 "
+        f"FROM ({inserted('SELECT l.*, f.initial, f.fault, f.free FROM l JOIN f ON f.c = l.c AND f.pos = l.pos + 1')})"
+    )
+    return rf"""
+WITH RECURSIVE tab AS (
+  SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce([CAST(i AS BIGINT)] || [CAST(0 AS BIGINT) FOR _ IN range(8)], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS c FROM range(256) r(i))
+), ids AS (SELECT conv_id, row_number() OVER () AS c FROM (SELECT DISTINCT conv_id FROM conversations)),
+h AS (
+  SELECT ids.c, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(list_reduce([CAST(4294967295 AS BIGINT)] || [CAST(ord(x) AS BIGINT) FOR x IN string_split(coalesce(CAST(v.conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), '')], lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1])), 4294967295) % 20 AS how
+  FROM conversations v JOIN ids ON ids.conv_id IS NOT DISTINCT FROM v.conv_id, tab
+), d AS (
+  SELECT c, turn, CASE WHEN how = 4 THEN 'user' ELSE role END AS role, CASE WHEN how = 1 THEN '' WHEN how = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN how = 3 THEN 2 ELSE 1 END)) AS copy FROM h WHERE how <> 0
+), r AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text, copy) AS pos, left(role, 1) AS initial, regexp_replace(text, '[ 	-]+$', '') AS body FROM d),
+f AS MATERIALIZED (
+  SELECT *, fault IS NULL OR fault = 'truncated' AS free, lag(initial) OVER (PARTITION BY c ORDER BY pos) || initial AS two
+  FROM (SELECT *, CASE WHEN body = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY c, role, text ORDER BY pos) > 1 THEN 'duplicate' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault FROM r)
+), l AS (
+  SELECT c, CAST(0 AS BIGINT) AS pos, '000000' AS n0, CAST(NULL AS VARCHAR) AS n1, CAST(NULL AS VARCHAR) AS n2, CAST(NULL AS VARCHAR) AS n3 FROM ids
+  UNION ALL {stepped}
+), z AS (SELECT c, least(n0, n3) AS best FROM ({inserted('SELECT l.* FROM l JOIN (SELECT c, max(pos) AS pos FROM l GROUP BY c) USING (c, pos)')})),
+e AS (
+  SELECT *, sum(CASE WHEN edit = 'I' THEN 0 ELSE 1 END) OVER w AS pos, sum(CASE WHEN edit = 'D' THEN 0 ELSE 1 END) OVER w AS nth
+  FROM (SELECT c, nr, substr(best, 6 + nr, 1) AS edit FROM (SELECT c, best, CAST(unnest(range(1, length(best) - 5)) AS INTEGER) AS nr FROM z)) WINDOW w AS (PARTITION BY c ORDER BY nr)
+), s AS (SELECT c, count(*) AS headed FROM e JOIN f USING (c, pos) WHERE edit = 'K' AND nth = 1 AND initial = 's' GROUP BY c),
+t AS (
+  SELECT e.c, string_agg(CASE WHEN edit = 'K' THEN role WHEN (nth - coalesce(headed, 0)) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY nr) AS said
+  FROM e LEFT JOIN f ON f.c = e.c AND f.pos = e.pos AND edit <> 'I' LEFT JOIN s ON s.c = e.c WHERE edit <> 'D' GROUP BY e.c
+), g AS (
+  SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (two NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY c
+)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(left(best, 6) AS BIGINT) AS cost, substr(best, 7) AS audit, sha256(coalesce(said, '')) AS repaired_sha256
+FROM ids JOIN z USING (c) LEFT JOIN g USING (c) LEFT JOIN t USING (c)
+"""
+
+
+SQL_REPAIR = _sql_repair()
+
+
 def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = decontaminate.build(table(spark, sf_dir, "documents"))
     found = decontaminate.contamination(index, table(spark, sf_dir, "benchmark"))
@@ -189,7 +243,8 @@ QUERIES = {
     "op8_mix": op8_mix,
     "op9_minhash": op9_minhash,
     "op10_line_dedup": op10_line_dedup,
+    "op11_repair": op11_repair,
     "op12_decontaminate": op12_decontaminate,
     "op13_spelling": op13_spelling,
 }
-ORACLES = {"op1_topk": SQL_TOPK, "op2_exact_dedup": SQL_EXACT_DEDUP, "op3_warc": SQL_WARC, "op8_mix": SQL_MIX, "op12_decontaminate": SQL_DECONTAMINATE, "op13_spelling": SQL_SPELLING}
+ORACLES = {"op1_topk": SQL_TOPK, "op2_exact_dedup": SQL_EXACT_DEDUP, "op3_warc": SQL_WARC, "op8_mix": SQL_MIX, "op11_repair": SQL_REPAIR, "op12_decontaminate": SQL_DECONTAMINATE, "op13_spelling": SQL_SPELLING}

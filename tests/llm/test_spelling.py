@@ -68,6 +68,6 @@ def test_chain_of_forms_long_words_and_empty_tables(spark):
     docs = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
     assert s.variants(docs([])).isEmpty() and s.variants(docs([(1, None), (2, "short words")])).isEmpty()
     long = "ab" * 3000
-    rows = [(k, w) for k, w in enumerate(["corpora "] * 400 + ["corporax "] * 30 + ["corporaxy "] * 2 + [f"{long} "] * 20 + [f"{long}c "] * 2)]
+    rows = [(k, w) for k, w in enumerate(["corpora "] * 400 + ["corporax "] * 30 + ["corporaxy "] * 2 + [f"{long} "] * 30 + [f"{long}c "] * 2)]
     got = {r["word"]: tuple(r)[1:] for r in s.variants(docs(rows)).select("word", "n", "n_near", "form", "form_n", "root").collect()}
     assert got == brute(rows, 7, 2, 10) and got["corporaxy"][4] == "corpora" and got[f"{long}c"][4] == long
