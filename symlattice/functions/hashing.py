@@ -24,19 +24,55 @@ def fnv1a(text: Column) -> Column:
     return F.aggregate(bytes_, F.lit(FNV_BASIS).cast("long"), lambda h, b: _times(h.bitwiseXOR(b), FNV_PRIME))
 
 
+def _let(x: Column, f) -> Column:
+    """f of x, which is evaluated once: an expression that repeats its argument doubles with every step."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def mix32(x: Column) -> Column:
-    x = x.bitwiseXOR(F.shiftrightunsigned(x, 16))
-    x = _times(x, MIX[0])
-    x = x.bitwiseXOR(F.shiftrightunsigned(x, 15))
-    x = _times(x, MIX[1])
-    return x.bitwiseXOR(F.shiftrightunsigned(x, 15))
+    folded = lambda y, n: y.bitwiseXOR(F.shiftrightunsigned(y, n))
+    once = _let(_let(x, lambda y: folded(y, 16)), lambda y: _times(y, MIX[0]))
+    twice = _let(_let(once, lambda y: folded(y, 15)), lambda y: _times(y, MIX[1]))
+    return _let(twice, lambda y: folded(y, 15))
 
 
 def combine(first: Column, rest: Column) -> Column:
     """One step of a right fold: rest is the hash of what follows."""
-    spread = (first + F.lit(0x9E3779B9) + F.shiftleft(rest, 6) + F.shiftrightunsigned(rest, 2)).bitwiseAND(F.lit(MASK))
-    return rest.bitwiseXOR(spread)
+    spread = lambda r: (first + F.lit(0x9E3779B9) + F.shiftleft(r, 6) + F.shiftrightunsigned(r, 2)).bitwiseAND(F.lit(MASK))
+    return _let(rest, lambda r: r.bitwiseXOR(spread(r)))
 
 
 def hex32(x: Column) -> Column:
     return F.concat(F.lit("0x"), F.lower(F.lpad(F.hex(x), 8, "0")))
+
+
+def u64(x: Column) -> Column:
+    """Hash of 64 bits, signed or not: of its lower half and then its upper."""
+    return combine(mix32(x.bitwiseAND(F.lit(MASK))), mix32(F.shiftrightunsigned(x, 32)))
+
+
+def flag(x: Column) -> Column:
+    return mix32(F.when(x, 1).otherwise(0).cast("long"))
+
+
+def small(x: Column | int | str) -> Column:
+    """Hash of up to 32 bits: a number, or a character's code."""
+    return mix32((F.lit(ord(x)) if isinstance(x, str) else F.lit(x) if isinstance(x, int) else x).cast("long"))
+
+
+def together(*hashes: Column) -> Column:
+    """Hash of several values, combined from the last to the first."""
+    out = hashes[-1]
+    for h in reversed(hashes[:-1]):
+        out = combine(h, out)
+    return out
+
+
+def decayed(first: Column, second: Column, bits: int) -> Column:
+    """Two hashes in one, of which the second leaves the upper bits alone."""
+    return first.bitwiseXOR(F.shiftrightunsigned(second, bits))
+
+
+def decayed_all(hashes: Column, bits: int) -> Column:
+    """An array of hashes in one, each with its followers decayed: the last one the most."""
+    return F.aggregate(F.reverse(hashes), F.lit(0).cast("long"), lambda rest, h: decayed(h, rest, bits))
