@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from symlattice.functions.hashing import decayed, decayed_all, flag, fnv1a, hex32, small, together, u64
 from symlattice.plans.bottomup import evaluate
+from symlattice.session import checkpoint
 
 #: How many bits a hash of a part is decayed by, and the letters and numbers that tell kinds apart; fixed values.
 SPECIAL = {"VOID": "void", "VARIADIC": "variadic", "NULLPTR": "nullptr"}
@@ -56,5 +57,6 @@ def _hashed(parts: Column | None) -> Column:
 
 def stable_ids(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, kind, hash, hash_id) of every typed node. A struct without a name that holds itself counts as 0 within."""
+    nodes = checkpoint(nodes)
     found = evaluate(nodes, dependencies(nodes, edges), _hashed, F.lit(0).cast("long"), F.col("kind") == "struct")
     return nodes.join(found, "id").select("id", "kind", F.col("value").alias("hash"), hex32(F.col("value")).alias("hash_id"))
