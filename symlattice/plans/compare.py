@@ -82,6 +82,21 @@ class Comparison:
         change = F.when(F.col("cb").isNull(), "removed").when(F.col("ca").isNull(), "added").when(F.col("differs"), "changed")
         return self.links.join(bad, ["a", "b"], "left_semi").join(ends, ["ca", "cb"], "left").select("a", "b", "label", "key", change.alias("change")).filter("change is not null")
 
+    def graph(self) -> tuple[DataFrame, DataFrame]:
+        """(node, holds, changed) and (src, key, dst) of the difference graph: nodes are unequal pairs as ``a:b``; dst is null for what only one side has.
+
+        Comparable named types and the interface hold changes; a pair that is incomparable, or differs by its own attributes, changes by itself.
+        """
+        bad = checkpoint(self.unequal())
+        pair = lambda a, b: F.concat_ws(":", F.col(a).cast("string"), F.col(b).cast("string"))
+        x, y = (n.select(F.col("id").alias(c), F.col("local").alias(f"local_{c}"), F.col("kind").alias(f"kind_{c}")) for n, c in zip(self.nodes, "ab", strict=True))
+        known = self.every.join(bad, ["a", "b"], "left_semi").join(x, "a").join(y, "b")
+        holds = F.col("comparable") & F.col("kind_a").isin(*NAMED, "typedef", "interface")
+        nodes = known.select(pair("a", "b").alias("node"), holds.alias("holds"), (~F.col("comparable") | ~F.col("local_a").eqNullSafe(F.col("local_b"))).alias("changed"))
+        ends = bad.select(F.col("a").alias("ca"), F.col("b").alias("cb"), pair("a", "b").alias("dst"))
+        links = self.links.join(bad, ["a", "b"], "left_semi").join(ends, ["ca", "cb"], "left").filter("dst is not null or ca is null or cb is null")
+        return nodes, links.select(pair("a", "b").alias("src"), F.concat_ws("/", "label", "key").alias("key"), "dst")
+
 
 def colours(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, colour): classes of nodes that no sequence of edges tells apart, by refinement until the number of classes stands still."""

@@ -12,6 +12,7 @@ from symlattice.functions.hashing import combine, fnv1a, hex32, mix32
 from symlattice.operators import diff
 from symlattice.operators.fixpoint import chains, components
 from symlattice.plans.compare import Comparison, colours, reachable
+from symlattice.plans.pieces import pieces
 from symlattice.session import table
 from symlattice.sources.tables import KIND_RANGE, KINDS, VERSION_RANGE, TableGraph
 
@@ -267,6 +268,13 @@ def holder_changes(spark, sf_dir):
     return bad.join(a.nodes().filter("kind in ('struct_union', 'primitive', 'typedef', 'interface')"), F.col("a") == F.col("id")).groupBy("kind").agg(F.count("*").alias("n"))
 
 
+@query("report_pieces")
+def report_pieces(spark, sf_dir):
+    """The difference graph cut into the pieces of a flat report, in its order; a small report has those that are interesting."""
+    found = pieces(*_comparison(spark, sf_dir).graph(), f"{15 * KIND_RANGE}:{15 * KIND_RANGE + VERSION_RANGE}")
+    return found.withColumn("path", F.concat_ws(" ", "path"))
+
+
 # ---- fidelity
 
 

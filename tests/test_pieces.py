@@ -5,6 +5,9 @@ import pytest
 from symlattice.plans.pieces import pieces
 
 
+SF = "/root/testdata/sf0.001"
+
+
 def read(nodes, details, root):
     """Pieces as a reader goes through them: a queue of holders, each read depth first."""
     holds, changed = {n: h for n, h, _ in nodes}, {n: c for n, _, c in nodes}
@@ -58,3 +61,14 @@ def test_pieces(spark, seed):
     df = spark.createDataFrame(nodes, "node long, holds boolean, changed boolean"), spark.createDataFrame(details, "src long, key string, dst long")
     got = {(r["rank"], r["piece"], r["node"], tuple(r["path"]), r["stops"], r["interesting"]) for r in pieces(*df, 0).collect()}
     assert got == read(nodes, details, 0) and len(got) > 5
+
+
+def test_whole_comparison(spark):
+    """The pieces of the derived graphs' differences, and those of one interface with itself."""
+    from symlattice import queries as q
+
+    nodes, details = (x.collect() for x in q._comparison(spark, SF).graph())
+    root = f"{15 * q.KIND_RANGE}:{15 * q.KIND_RANGE + q.VERSION_RANGE}"
+    want = read([tuple(x) for x in nodes], [tuple(x) for x in details], root)
+    got = {(r["rank"], r["piece"], r["node"], r["path"], r["stops"], r["interesting"]) for r in q.QUERIES["report_pieces"](spark, SF).collect()}
+    assert got == {(*x[:3], " ".join(x[3]), *x[4:]) for x in want} and len({x[1] for x in got}) > 100
