@@ -51,13 +51,18 @@ def u64(x: Column) -> Column:
     return combine(mix32(x.bitwiseAND(F.lit(MASK))), mix32(F.shiftrightunsigned(x, 32)))
 
 
-def flag(x: Column) -> Column:
-    return mix32(F.when(x, 1).otherwise(0).cast("long"))
+def small(x: int | str) -> Column:
+    """Hash of a number of up to 32 bits, or of a character's code: a constant."""
+    h = ord(x) if isinstance(x, str) else x
+    h ^= h >> 16
+    for times in MIX:
+        h = h * times & MASK
+        h ^= h >> 15
+    return F.lit(h).cast("long")
 
 
-def small(x: Column | int | str) -> Column:
-    """Hash of up to 32 bits: a number, or a character's code."""
-    return mix32((F.lit(ord(x)) if isinstance(x, str) else F.lit(x) if isinstance(x, int) else x).cast("long"))
+def flag(x: Column) -> Column:
+    return F.when(x, small(1)).otherwise(small(0))
 
 
 def together(*hashes: Column) -> Column:

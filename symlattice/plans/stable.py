@@ -21,42 +21,56 @@ def dependencies(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return made.join(nodes.filter(stops).select(F.col("id").alias("src")), "src", "left_anti").select("src", "label", "pos", "dst")
 
 
+def _own() -> Column:
+    """What a node's hash takes from the node alone: all of it where nothing is below."""
+    c = F.col
+    at = lambda column, names: F.create_map(*(x for i, n in enumerate(names) for x in (F.lit(n), small(i))))[column]
+    special = F.create_map(*(F.lit(x) for kv in SPECIAL.items() for x in kv))
+    enumerators = F.transform(F.filter(F.split("text", ", "), lambda x: x != ""), lambda x: together(fnv1a(F.split(x, " = ")[0]), u64(F.split(x, " = ")[1].cast("long"))))
+    enum = together(small("e"), c("hash"), flag(c("defined")))
+    symbol, version = together(small("s"), c("hash")), together(fnv1a(F.ltrim("text", F.lit("@"))), flag(c("text").startswith("@@")))
+    return (
+        F.when(c("kind") == "special", fnv1a(special[c("tag")]))
+        .when(c("kind") == "pointer", together(small("r"), at(c("tag"), POINTERS)))
+        .when(c("kind") == "typedef", together(small("t"), c("hash")))
+        .when(c("kind") == "qualified", together(small("q"), at(c("tag"), QUALIFIERS)))
+        .when(c("kind") == "primitive", together(small("p"), c("hash")))
+        .when(c("kind") == "array", together(small("a"), u64(c("size"))))
+        .when(c("kind") == "base_class", together(small("b"), at(c("attrs"), INHERITANCE)))
+        .when(c("kind") == "method", fnv1a(c("attrs")))
+        .when(c("kind") == "member", decayed(together(small("m"), c("hash"), u64(c("bits"))), u64(c("size")), 20))
+        .when(c("kind") == "struct", together(small("S"), at(c("tag"), STRUCTS), c("hash"), flag(c("defined"))))
+        .when(c("kind") == "enum", F.when((c("name") != "") | ~c("defined"), enum).otherwise(decayed(enum, decayed_all(enumerators, 8), 2)))
+        .when(c("kind") == "symbol", F.when(c("text") == "", symbol).otherwise(decayed(symbol, version, 16)))
+        .when(c("kind") == "interface", fnv1a(F.lit("interface")))
+    )
+
+
 def _hashed(parts: Column | None) -> Column:
     c = F.col
     if parts is None:
         parts = F.filter(F.array(F.struct(F.lit("").alias("label"), F.lit(0).cast("long").alias("pos"), F.lit(0).cast("long").alias("dst"), F.lit(0).cast("long").alias("value"))), lambda x: F.lit(False))
     every = lambda label: F.transform(F.filter(parts, lambda x: x["label"] == label), lambda x: x["value"])
     of = lambda label: F.get(every(label), F.lit(0))
-    index = lambda column, names: F.array_position(F.array(*(F.lit(n) for n in names)), column) - 1
-    special = F.create_map(*(F.lit(x) for kv in SPECIAL.items() for x in kv))
     named = (c("name") != "") | ~c("defined")
-    member = decayed(together(small("m"), fnv1a(c("name")), u64(c("bits"))), u64(c("size")), 20)
-    struct = together(small("S"), small(index(c("tag"), STRUCTS)), fnv1a(c("name")), flag(c("defined")))
-    enum = together(small("e"), fnv1a(c("name")), flag(c("defined")))
-    enumerators = F.transform(F.filter(F.split("text", ", "), lambda x: x != ""), lambda x: together(fnv1a(F.split(x, " = ")[0]), u64(F.split(x, " = ")[1].cast("long"))))
-    version = together(fnv1a(F.ltrim("text", F.lit("@"))), flag(c("text").startswith("@@")))
-    symbol = together(small("s"), fnv1a(c("name")))
     return (
-        F.when(c("kind") == "special", fnv1a(special[c("tag")]))
-        .when(c("kind") == "pointer", decayed(together(small("r"), small(index(c("tag"), POINTERS))), of("pointee"), 2))
+        F.when(c("kind") == "pointer", decayed(c("own"), of("pointee"), 2))
         .when(c("kind") == "pointer_to_member", decayed(together(small("n"), of("containing")), of("pointee"), 16))
-        .when(c("kind") == "typedef", together(small("t"), fnv1a(c("name"))))
-        .when(c("kind") == "qualified", decayed(together(small("q"), small(index(c("tag"), QUALIFIERS))), of("qualified"), 2))
-        .when(c("kind") == "primitive", together(small("p"), fnv1a(c("name"))))
-        .when(c("kind") == "array", decayed(together(small("a"), u64(c("size"))), of("element"), 2))
-        .when(c("kind") == "base_class", decayed(together(small("b"), small(index(c("attrs"), INHERITANCE))), of("type"), 2))
-        .when(c("kind") == "method", fnv1a(c("attrs")))
-        .when(c("kind") == "member", F.when(c("name") == "", decayed(member, of("type"), 2)).otherwise(decayed(member, of("type"), 8)))
-        .when(c("kind") == "struct", F.when(named, struct).otherwise(decayed(struct, decayed_all(every("method"), 8).bitwiseXOR(decayed_all(every("member"), 8)), 2)))
-        .when(c("kind") == "enum", F.when(named, enum).otherwise(decayed(enum, decayed_all(enumerators, 8), 2)))
+        .when(c("kind") == "qualified", decayed(c("own"), of("qualified"), 2))
+        .when(c("kind") == "array", decayed(c("own"), of("element"), 2))
+        .when(c("kind") == "base_class", decayed(c("own"), of("type"), 2))
+        .when((c("kind") == "member") & (c("name") == ""), decayed(c("own"), of("type"), 2))
+        .when(c("kind") == "member", decayed(c("own"), of("type"), 8))
+        .when((c("kind") == "struct") & ~named, decayed(c("own"), decayed_all(every("method"), 8).bitwiseXOR(decayed_all(every("member"), 8)), 2))
         .when(c("kind") == "function", decayed(together(small("f"), of("return")), decayed_all(every("parameter"), 4), 2))
-        .when(c("kind") == "symbol", F.when(c("text") == "", symbol).otherwise(decayed(symbol, version, 16)))
-        .otherwise(fnv1a(F.lit("interface")))
+        .otherwise(c("own"))
     )
 
 
 def stable_ids(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, kind, hash, hash_id) of every typed node. A struct without a name that holds itself counts as 0 within."""
-    nodes = checkpoint(nodes)
+    # by themselves first, once: rounds then only combine
+    hashed = checkpoint(nodes.select("*", fnv1a(F.col("name")).alias("hash")))
+    nodes = checkpoint(hashed.select("id", "kind", "name", "defined", _own().alias("own")))
     found = evaluate(nodes, dependencies(nodes, edges), _hashed, F.lit(0).cast("long"), F.col("kind") == "struct")
     return nodes.join(found, "id").select("id", "kind", F.col("value").alias("hash"), hex32(F.col("value")).alias("hash_id"))
