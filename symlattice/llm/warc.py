@@ -19,6 +19,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import io
+import re
 import uuid
 from collections.abc import Iterator
 from urllib.parse import quote
@@ -39,6 +40,10 @@ FIELDS = {
 }
 _SAFE = "%:/?#[]@!$&'()*+,;=~-._"
 _FLUSH = 1 << 22
+_BLANK = re.compile(rb"\r?\n\r?\n")
+_WHOLE = re.compile(r"-?[0-9]{1,19}")
+#: Origin code of the archives written here; only theirs name page ids.
+ORIGIN = "pages"
 
 
 def _emit(rows: Iterator[tuple], schema: pa.Schema, weight) -> Iterator[pa.RecordBatch]:
@@ -65,7 +70,7 @@ def _write(rows: DataFrame, path: str) -> None:
 
 
 def arc_head(version: int, date: str) -> str:
-    body = f"{version} 0 pages\n{' '.join(FIELDS[version])}\n"
+    body = f"{version} 0 {ORIGIN}\n{' '.join(FIELDS[version])}\n"
     fixed = {"URL": "filedesc://pages.arc", "IP-address": "0.0.0.0", "Archive-date": date, "Content-type": "text/plain", "Result-code": "200", "Checksum": "-", "Location": "-", "Offset": "0", "Filename": "pages.arc", "Archive-length": str(len(body))}
     return " ".join(fixed[f] for f in FIELDS[version]) + "\n" + body
 
@@ -117,10 +122,16 @@ def arc_records(data: io.BufferedIOBase) -> Iterator[tuple[dict, bytes]]:
 
 
 def _http(block: bytes) -> tuple[dict[str, str], bytes, bytes]:
-    """Headers by lower-case name, their bytes with the blank line, and the payload."""
-    head, mark, payload = block.partition(b"\r\n\r\n")
-    lines = head.decode("utf-8", "replace").split("\r\n")[1:]
-    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}, head + mark, payload
+    """Headers by lower-case name, their bytes with the blank line, and the payload. Lines may end in a bare line feed; without a blank line there is no payload."""
+    end = _BLANK.search(block)
+    head, payload = (block[: end.end()], block[end.end() :]) if end else (block, b"")
+    lines = head.decode("utf-8", "replace").split("\n")[1:]
+    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}, head, payload
+
+
+def _number(text: str | None) -> int | None:
+    """A whole number that a long holds, or nothing."""
+    return int(text) if text and _WHOLE.fullmatch(text) and -(1 << 63) <= int(text) < 1 << 63 else None
 
 
 _ARC = pa.schema([("kind", pa.string()), ("place", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("date", pa.string()), ("ip", pa.string()), ("mime", pa.string()), ("digest", pa.binary()), ("n", pa.int64()), ("block", pa.binary())])
@@ -128,19 +139,22 @@ _ARC_DDL = "kind string, place string, page_id long, url string, date string, ip
 
 
 def read_arc(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each record of the ARC files; digest and n are those of the payload, place is the file's name with the record's number."""
+    """A row for each record of the ARC files; digest and n are those of the payload, place is the file's name with the record's number.
+
+    page_id is null in archives of another origin, whatever headers their servers sent.
+    """
 
     def rows(batches):
         for b in batches:
             for content, file in zip(*b.columns, strict=True):
-                raw, file = content.as_buffer(), file.as_py().rsplit("/", 1)[-1]
+                raw, file, ours = content.as_buffer(), file.as_py().rsplit("/", 1)[-1], False
                 for k, (f, block) in enumerate(arc_records(gzip.GzipFile(fileobj=pa.BufferReader(raw)) if bytes(raw[:2]) == b"\x1f\x8b" else io.BytesIO(raw))):
                     if f["URL"].startswith("filedesc:"):
+                        ours = block.split(b"\n", 1)[0].split()[2:] == [ORIGIN.encode()]
                         yield "filedesc", f"{file}#{k}", None, f["URL"], f["Archive-date"], None, f["Content-type"], None, len(block), block
                     else:
                         headers, _, payload = _http(block) if block.startswith(b"HTTP/") else ({}, b"", block)
-                        page = headers.get("x-page-id")
-                        yield "page", f"{file}#{k}", int(page) if page else None, f["URL"], f["Archive-date"], f["IP-address"], f["Content-type"], hashlib.sha256(payload).digest(), len(payload), block
+                        yield "page", f"{file}#{k}", _number(headers.get("x-page-id")) if ours else None, f["URL"], f["Archive-date"], f["IP-address"], f["Content-type"], hashlib.sha256(payload).digest(), len(payload), block
 
     return spark.read.format("binaryFile").load(path).select("content", "path").mapInArrow(lambda bs: _emit(rows(bs), _ARC, lambda r: len(r[-1]) + 200), _ARC_DDL)
 
@@ -168,18 +182,20 @@ def warc_record(kind: str, place: str, page_id: int | None, url: str, date: str,
     else:
         http = block.startswith(b"HTTP/")
         fields = [("WARC-Type", "response" if http else "resource"), *fields, ("WARC-Target-URI", url), ("WARC-Payload-Digest", f"sha256:{digest.hex()}"), ("Content-Type", "application/http; msgtype=response" if http else mime)]
+        if page_id is not None:
+            fields.append(("WARC-Page-Id", str(page_id)))
         if ip and ip != "0.0.0.0":
             fields.append(("WARC-IP-Address", ip))
         if first is not None and http:
             block = _http(block)[1]
             fields[0] = ("WARC-Type", "revisit")
-            fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(first["place"], first["url"], first["date"], digest)), ("WARC-Refers-To-Target-URI", first["url"]), ("WARC-Refers-To-Date", _iso(first["date"])), ("WARC-Refers-To-Page", str(first["page_id"]))]
+            fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(first["place"], first["url"], first["date"], digest)), ("WARC-Refers-To-Target-URI", first["url"]), ("WARC-Refers-To-Date", _iso(first["date"])), ("WARC-Refers-To-Page", str(first["page_id"])), ("WARC-Payload-Length", str(n))]
     fields += [("WARC-Block-Digest", f"sha256:{hashlib.sha256(block).hexdigest()}"), ("Content-Length", str(len(block)))]
     return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n").encode() + block + b"\r\n\r"
 
 
 def write_warc(records: DataFrame, path: str, min_revisit: int = MIN_REVISIT) -> None:
-    """A WARC file for each task's records of read_arc(). WARC-Refers-To-Page, beside the standard fields, names the page itself."""
+    """A WARC file for each task's records of read_arc(). WARC-Page-Id, WARC-Refers-To-Page and WARC-Payload-Length, beside the standard fields, name the page, the page that it revisits and the full payload's size."""
     pages = records.filter(f"kind = 'page' and n >= {min_revisit} and page_id is not null")
     shared = pages.groupBy("digest").agg(F.min(F.struct("page_id", "place", "url", "date")).alias("first"), F.min("page_id").alias("least"), F.max("page_id").alias("most"), F.count("*").alias("times"))
     # records without an id revisit a page too, so digests of one page are needed where those exist
@@ -220,7 +236,11 @@ _WARC = pa.schema([("record_type", pa.string()), ("record_id", pa.string()), ("u
 
 
 def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """A row for each record but warcinfo; sizes and digests are those of the full payload, which a revisit only names."""
+    """A row for each record but warcinfo; sizes and digests are those of the full payload, which a revisit only names.
+
+    A revisit of another's archive without WARC-Payload-Length has the length its
+    HTTP head declares, or null; its digest is null if it isn't a SHA-256. Page ids are WARC-Page-Id only.
+    """
 
     def rows(batches):
         for b in batches:
@@ -231,13 +251,13 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
                     if kind == "warcinfo":
                         continue
                     headers, _, payload = _http(block) if block.startswith(b"HTTP/") else ({}, b"", block)
-                    page, named = headers.get("x-page-id"), f.get("warc-payload-digest", "").removeprefix("sha256:")
+                    algorithm, _, named = f.get("warc-payload-digest", "").partition(":")
+                    named = named if algorithm == "sha256" else None
                     digest = named if kind == "revisit" else hashlib.sha256(payload).hexdigest()
                     if named and digest != named:
                         raise ValueError(f"payload of {f.get('warc-record-id')} doesn't have its digest")
-                    size = int(headers.get("content-length", 0)) if kind == "revisit" else len(payload)
-                    first = f.get("warc-refers-to-page")
-                    yield kind, f.get("warc-record-id"), f.get("warc-target-uri"), f.get("warc-date"), int(page) if page else None, size, digest, int(first) if first else None, payload if payloads and kind != "revisit" else None
+                    size = _number(f.get("warc-payload-length") or headers.get("content-length")) if kind == "revisit" else len(payload)
+                    yield kind, f.get("warc-record-id"), f.get("warc-target-uri"), f.get("warc-date"), _number(f.get("warc-page-id")), size, digest, _number(f.get("warc-refers-to-page")), payload if payloads and kind != "revisit" else None
 
     ddl = "record_type string, record_id string, url string, date string, page_id long, payload_bytes long, payload_digest string, refers_to long, payload binary"
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(lambda bs: _emit(rows(bs), _WARC, lambda r: len(r[-1] or b"") + 300), ddl)

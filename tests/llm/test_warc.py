@@ -48,7 +48,7 @@ def test_binary_payloads(spark, tmp_path):
     """Bytes that are no UTF-8, among them line feeds, from an archive of two images and a revisit."""
     image = bytes(range(256)) * 3
     head = b"HTTP/1.1 200 OK\r\nContent-Type: image/png\r\nContent-Length: 768\r\nX-Page-Id: %d\r\n\r\n"
-    arc = b"filedesc://x 0.0.0.0 20200101 text/plain 4\n1 0\n"
+    arc = b"filedesc://x 0.0.0.0 20200101 text/plain 10\n1 0 pages\n"
     for i, payload in ((1, image), (2, image[::-1]), (3, image)):
         block = head % i + payload
         arc += b"\nhttp://a/%d 1.2.3.4 19990102030405 image/png %d\n" % (i, len(block)) + block
@@ -73,3 +73,32 @@ def test_versions_and_damage():
     with pytest.raises(ValueError, match="not a WARC record"):
         list(warc.warc_records(gzip.GzipFile(fileobj=io.BytesIO(gzip.compress(b"hello\n")))))
     assert warc._iso("1999") == "1999-01-01T00:00:00Z" and warc._iso("199911") == "1999-11-01T00:00:00Z" and warc._iso("19990102030405") == "1999-01-02T03:04:05Z"
+
+
+def test_foreign_archives(spark, tmp_path):
+    """Page ids of other servers aren't ours, sizes don't rest on HTTP heads, and heads may end in bare line feeds."""
+    body = b"\x00\xff\n\n" * 50
+    heads = [b"HTTP/1.1 200 OK\r\nX-Page-Id: home\r\nTransfer-Encoding: chunked\r\n\r\n", b"HTTP/1.0 200 OK\nX-Page-Id: 7\nServer: a\n\n", b"HTTP/1.0 200 OK\nContent-Length: many\r\n\n", b"HTTP/1.0 204 No Content\r\nServer: a"]
+    arc = b"filedesc://x 0.0.0.0 20200101 text/plain 14\n1 0 Elsewhere\n"
+    for i, h in enumerate(heads):
+        block = h + body * (i < 3)
+        arc += b"\nhttp://a/%d 1.2.3.4 19990102030405 text/html %d\n" % (i, len(block)) + block
+    (tmp_path / "x.arc").write_bytes(arc)
+    records = warc.read_arc(spark, f"{tmp_path}/x.arc")
+    want = [(None, len(body), hashlib.sha256(body).hexdigest())] * 3 + [(None, 0, hashlib.sha256(b"").hexdigest())]
+    pages = records.filter("kind = 'page'").orderBy("place").collect()
+    assert [(r["page_id"], r["n"], bytes(r["digest"]).hex()) for r in pages] == want
+    warc.write_warc(records, f"{tmp_path}/all")
+    got = warc.read_warc(spark, f"{tmp_path}/all").orderBy("url").collect()
+    assert [(r["page_id"], r["payload_bytes"], r["payload_digest"]) for r in got] == want and bytes(got[1]["payload"]) == body
+    # the same with ids: chunked payloads are revisited with their size
+    (tmp_path / "y.arc").write_bytes(b"filedesc://y 0.0.0.0 20200101 text/plain 10\n1 0 pages\n" + b"".join(b"\nhttp://a/%d 1.2.3.4 1999 text/html %d\n" % (i, len(h + body)) + h + body for i, h in enumerate(b"HTTP/1.1 200 OK\nX-Page-Id: %d\nTransfer-Encoding: chunked\n\n" % i for i in (1, 2))))
+    warc.write_warc(warc.read_arc(spark, f"{tmp_path}/y.arc"), f"{tmp_path}/ours")
+    found = {r["page_id"]: (r["record_type"], r["refers_to"], r["payload_bytes"]) for r in warc.read_warc(spark, f"{tmp_path}/ours").collect()}
+    assert found == {1: ("response", None, len(body)), 2: ("revisit", 1, len(body))}
+
+
+def test_revisits_of_others():
+    """A revisit that says no size has none; numbers that aren't, or that no long holds, are nothing."""
+    assert warc._number("12") == 12 and all(warc._number(x) is None for x in (None, "", "home", "1.5", "9" * 19, "9" * 30))
+    assert warc._http(b"HTTP/1.1 200 OK\n\n")[1:] == (b"HTTP/1.1 200 OK\n\n", b"")
