@@ -3,8 +3,9 @@
 Pairs of nodes are expanded from the pair of roots by matching edges on label
 and key; a pair differs locally if the nodes' own attributes do or if an edge
 has no partner; what reaches a local difference is unequal. Nodes of different
-kinds, or of named kinds with different names, are incomparable: their pair
-differs and nothing below it is compared. That is free of any traversal order,
+kinds, of named kinds with different names, a pointer and a reference, or a
+struct and a union are incomparable: their pair differs and nothing below it is
+compared. That is free of any traversal order,
 so cycles need no component finder. Every level is a table of its own.
 """
 
@@ -12,7 +13,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from symlattice.session import checkpoint
@@ -21,6 +22,12 @@ from symlattice.session import checkpoint
 NAMED = ("primitive", "struct_union", "enumeration")
 
 
+def _tag() -> Column:
+    """What two nodes must share to be comparable: their kind, the name of a named kind, the sort of a pointer, and whether it is a struct or a union."""
+    sort = F.when(F.col("kind") == "pointer_reference", F.col("local")).when(F.col("kind") == "struct_union", F.get_json_object("local", "$.kind"))
+    return F.struct("kind", F.when(F.col("kind").isin(*NAMED), F.col("name")).alias("name"), sort.alias("sort"))
+
+
 def union(tables: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, tables)
 
@@ -40,7 +47,7 @@ class Comparison:
 
     def __init__(self, nodes: tuple[DataFrame, DataFrame], edges: tuple[DataFrame, DataFrame], roots: tuple[int, int]):
         # every level joins its own pairs with the edges, so those are computed once; tag is what makes nodes comparable
-        self.nodes = tuple(checkpoint(n.select("id", "kind", "local", F.struct("kind", F.when(F.col("kind").isin(*NAMED), F.col("name")).alias("name")).alias("tag"))) for n in nodes)
+        self.nodes = tuple(checkpoint(n.select("id", "kind", "local", _tag().alias("tag"))) for n in nodes)
         self.edges = tuple(checkpoint(e.select("src", "label", "key", "dst").join(n.select(F.col("id").alias("dst"), "tag"), "dst", "left")) for e, n in zip(edges, self.nodes, strict=True))
         spark = nodes[0].sparkSession
         tags = [n.filter(F.col("id") == r).select(F.col("tag").alias(t)) for n, r, t in zip(self.nodes, roots, ("ta", "tb"), strict=True)]

@@ -89,3 +89,13 @@ def test_attributes_are_told_apart(spark):
     nodes = spark.createDataFrame(rows, "id long, x string, y string").select("id", F.lit("k").alias("kind"), F.to_json(F.struct("x", "y")).alias("local"))
     found = {r["id"]: r["colour"] for r in colours(nodes, spark.createDataFrame([], "src long, label string, key string, dst long")).collect()}
     assert len(set(found.values())) == 4 and found[1] == found[5]
+
+
+@pytest.mark.parametrize(("old", "new", "kind", "below"), [("POINTER", "POINTER", "pointer_reference", True), ("POINTER", "LVALUE_REFERENCE", "pointer_reference", False), ('{"kind":"STRUCT","name":"s"}', '{"kind":"STRUCT","name":"s","bytesize":4}', "struct_union", True), ('{"kind":"STRUCT","name":"s"}', '{"kind":"UNION","name":"s"}', "struct_union", False)])
+def test_sorts_of_a_kind(spark, old, new, kind, below):
+    """A pointer isn't compared with a reference, nor a struct with a union of its name."""
+    side = lambda at, local: graph(spark, [(at, "interface", "", ""), (at + 1, kind, "s", local), (at + 2, "primitive", "int", "")], [(at, "symbol", "p", at + 1), (at + 1, "type", "", at + 2)])
+    a, b = side(0, old), side(10, new)
+    c = Comparison((a[0], b[0]), (a[1], b[1]), (0, 10))
+    assert {tuple(r) for r in c.pairs.collect()} == {(0, 10), (1, 11)} | ({(2, 12)} if below else set())
+    assert {tuple(r) for r in c.unequal().collect()} == (set() if old == new else {(0, 10), (1, 11)})
