@@ -22,11 +22,14 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each text, that of the largest id; rows repeated in full leave one."""
+    """One row of each text, that of the largest id; of several rows with that id, the one whose other columns come first as JSON (without null fields), however the rows are partitioned."""
     kept = exact_dedup.exact_dedup(docs).filter("kept").select(F.col("id").alias("__id"), F.col("sha").alias("__sha")).distinct()
     named = docs.withColumn("__text", F.sha2(F.coalesce("text", F.lit("")), 256))
     found = named.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__sha")))
-    return found.dropDuplicates(["__id", "__sha"]).select(*docs.columns)
+    # the text is the group's own, so only the other columns decide; they alone are compared
+    rest = F.to_json(F.struct(*(c for c in docs.columns if c != "text")))
+    first = found.groupBy("__id", "__sha").agg(F.min_by(F.struct(*docs.columns), rest).alias("__row"))
+    return first.select("__row.*")
 
 
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
