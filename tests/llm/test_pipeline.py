@@ -45,3 +45,15 @@ def test_odd_rows(spark):
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_same_row_stays_under_any_partitioning(spark):
+    """Rows of one id and text that differ in other columns, nulls among them: the least as JSON stays."""
+    rows = [(1, "one", "b", "en"), (1, "one", "a", None), (1, "one", "a", "de"), (1, "one", None, "en"), (2, None, "c", None), (2, "", "b", None), (None, "two", "z", "en"), (None, "two", "y", "en")]
+    kept = set()
+    for n, order in ((1, rows), (4, rows[::-1]), (7, rows[3:] + rows[:3])):
+        docs = spark.createDataFrame(order, "doc_id long, text string, source string, lang string").repartition(n)
+        kept.add(tuple(sorted(map(tuple, corpus_pipeline.distinct_texts(spark, docs, SF).collect()), key=repr)))
+    assert len(kept) == 1
+    (rest,) = kept
+    assert set(rest) == {(1, "one", None, "en"), (2, "", "b", None), (None, "two", "y", "en")} and len(rest) == 3
