@@ -47,7 +47,7 @@ def flat_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     members = diff.match(*sides, ["ord", "member", "nth"]).filter("old is null or new is null or old.offset <> new.offset or old.said <> new.said")
     members = members.withColumn("name", F.concat(F.lit("order_"), F.col("ord").cast("string"))).join(structs.filter("was and is").select("name"), "name", "left_semi")
     moved = checkpoint(members.select("name", F.coalesce("old.pos", "new.pos").alias("pos"), report.comparison_line(F.lit("member"), F.col("old.said"), F.col("new.said")).alias("said"), diff.changed_from_to("offset", F.col("old.offset").cast("string"), F.col("new.offset").cast("string")).alias("offset"), (F.col("old").isNotNull() & F.col("new").isNotNull()).alias("both")))
-    heads = turned.unionByName(moved.select("name", F.lit(None).cast("string").alias("text")).distinct())
+    heads = checkpoint(turned.unionByName(moved.select("name", F.lit(None).cast("string").alias("text")).distinct()))
     struct = F.concat(F.lit("struct "), "name")
     type_block = F.lit(3)
     parts.append(_lines(heads, type_block, F.col("name"), F.lit(0), [report.comparison_line(F.lit("type"), struct, struct), F.col("text")]))
