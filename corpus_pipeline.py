@@ -47,8 +47,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids, and digests of them and of the text that they decode to."""
     codec = bpe.Bpe(spark, queries.vocabulary_path())
-    ids = docs.select("doc_id", "source", codec.encode(F.col("text")).alias("ids"))
-    return queries.with_digests(ids.withColumn("decoded", codec.decode(F.col("ids")))).drop("decoded")
+    ids = docs.select("doc_id", "source", codec.both(F.col("text")).alias("both"))
+    return queries.with_digests(ids.select("doc_id", "source", "both.ids", "both.decoded")).drop("decoded")
 
 
 STAGES = [

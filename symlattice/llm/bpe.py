@@ -5,6 +5,9 @@ pairs: the root holds the lowest rank and, among equals, the leftmost place; a
 merge changes three leaves, each in logarithmic time, until no pair is
 mergeable. Trees of many distinct words are advanced in lockstep as numpy arrays.
 
+The vocabulary file is parsed once, on the driver; tasks get its tables as arrays of
+some megabytes. A parsed file would leave every Python worker over a hundred.
+
 Words that a task has met are looked up by their white-space delimited form,
 in a table of bounded size. Null texts count as empty; an empty text has no ids
 and decodes to the empty text. Other columns pass through untouched.
@@ -48,9 +51,8 @@ class Vocabulary:
         model, vocab = spec["model"], spec["model"]["vocab"]
         suffix = model["end_of_word_suffix"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.special_re = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
-        shapes = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.words = regex.compile(shapes + "|\n")
+        self.shapes = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
+        self._compile()
         chars = _byte_chars()
         self.first = np.array([vocab[c] for c in chars], dtype=np.int64)
         self.last = np.array([vocab[c + suffix] for c in chars], dtype=np.int64)
@@ -65,6 +67,10 @@ class Vocabulary:
         self.token_lens = np.array([len(s) for s in strings], dtype=np.int64)
         self.token_at = np.cumsum(self.token_lens) - self.token_lens
 
+    def _compile(self) -> None:
+        self.special_re = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
+        self.words = regex.compile(self.shapes + "|\n")
+
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left << 20 | right
         at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
@@ -146,6 +152,14 @@ class Vocabulary:
             out.append(self.token_bytes[np.repeat(self.token_at[part] - start, lens) + np.arange(int(lens.sum()))].tobytes())
         return b"".join(out)
 
+    def __getstate__(self) -> dict:
+        """Patterns are compiled where they are used."""
+        return {k: v for k, v in self.__dict__.items() if k not in ("special_re", "words")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._compile()
+
 
 class Encoder:
     """A task's encoder, with the forms that it remembers."""
@@ -231,14 +245,9 @@ class Encoder:
         return ids, upto[ends] - upto[ends - counts]
 
 
-@lru_cache(maxsize=2)
-def _vocabulary(shared) -> Vocabulary:
-    return Vocabulary(shared.value)
-
-
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _encoder(shared) -> Encoder:
-    return Encoder(_vocabulary(shared))
+    return Encoder(shared.value)
 
 
 def _groups(sizes: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
@@ -263,11 +272,11 @@ def _texts(vocab: Vocabulary, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
 
 
 class Bpe:
-    """Columns of ids and of decoded text; the file's text travels to the tasks once, as a broadcast of fixed size."""
+    """Columns of ids and of decoded text; the file's tables travel to the tasks once, as a broadcast of fixed size."""
 
     def __init__(self, spark: SparkSession, path: str):
         with open(path, encoding="utf-8") as f:
-            self.shared = spark.sparkContext.broadcast(f.read())
+            self.shared = spark.sparkContext.broadcast(Vocabulary(f.read()))
 
     def encode(self, text: Column) -> Column:
         shared = self.shared
@@ -286,7 +295,7 @@ class Bpe:
 
         @F.arrow_udf("string")
         def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            vocab = _vocabulary(shared)
+            vocab = shared.value
             for lists in batches:
                 counts = np.diff(np.asarray(lists.offsets, dtype=np.int64))
                 flat, at = lists.flatten(), 0
@@ -297,6 +306,30 @@ class Bpe:
 
         return run(ids)
 
+    def both(self, text: Column) -> Column:
+        """A struct of the ids and the text that they decode to, by one Python worker for a task instead of two."""
+        shared = self.shared
+
+        @F.arrow_udf("ids array<int>, decoded string")
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            encoder = _encoder(shared)
+            for texts in batches:
+                for a, b in _groups(_sizes(texts)):
+                    ids, counts = encoder.encode(texts[a:b].to_pylist())
+                    yield pa.StructArray.from_arrays([_lists(ids, counts), _decoded(encoder.vocab, ids, counts)], names=["ids", "decoded"])
+
+        return run(F.coalesce(text, F.lit("")))
+
+
+def _decoded(vocab: Vocabulary, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """The texts of all ids, some tokens at a time."""
+    out, at = [], 0
+    for a, b in _groups(counts, 1 << 17):
+        n = int(counts[a:b].sum())
+        out.append(_texts(vocab, ids[at : at + n].astype(np.int64), counts[a:b]))
+        at += n
+    return pa.concat_arrays(out) if out else pa.array([], pa.string())
+
 
 def _sizes(texts: pa.Array) -> np.ndarray:
     import pyarrow.compute as pc

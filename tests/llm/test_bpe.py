@@ -56,6 +56,25 @@ def test_columns(spark, library):
     assert df.limit(0).withColumn("ids", codec.encode(F.col("text"))).count() == 0
 
 
+def test_one_worker_for_both_ways(spark, library):
+    """Ids and decoded text come from one Python node; what travels to the tasks is arrays of some megabytes, not the parsed file."""
+    import pickle
+
+    import corpus_pipeline
+
+    codec = Bpe(spark, vocabulary_path())
+    rows = [(i, t) for i, t in enumerate([*ODD, None, "word " * 300_000])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in df.select("text", codec.both(F.col("text")).alias("both")).collect():
+        ids = library.encode(r["text"] or "", add_special_tokens=False).ids
+        assert r["both"]["ids"] == ids and r["both"]["decoded"] == library.decode(ids, skip_special_tokens=False)
+    assert df.limit(0).select(codec.both(F.col("text"))).count() == 0
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    for out in (op4_bpe(spark, "/root/testdata/sf0.001"), corpus_pipeline.encoded(spark, docs, "/root/testdata/sf0.001")):
+        assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert len(pickle.dumps(codec.shared.value)) < 5e6
+
+
 def test_whole_table(spark, library):
     import hashlib
 
