@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MASK = 0xFFFFFFFF
 #: Public FNV-1a parameters and the multipliers of a two-round xorshift mixer; fixed values.
@@ -24,6 +28,49 @@ def fnv1a(text: Column) -> Column:
     return F.aggregate(bytes_, F.lit(FNV_BASIS).cast("long"), lambda h, b: _times(h.bitwiseXOR(b), FNV_PRIME))
 
 
+#: Texts still going on, below which they end one by one.
+FEW_TEXTS = 8
+
+
+@F.arrow_udf(T.LongType())
+def fnv1a_of(text: pa.Array) -> pa.Array:
+    """fnv1a() of whole columns: all texts take a byte a step. Lambdas can't hold it."""
+    text = pc.fill_null(text.cast(pa.large_binary()), b"")
+    _, offsets, data = text.buffers()
+    at = np.frombuffer(offsets, np.int64)[text.offset : text.offset + len(text) + 1]
+    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    start, n = at[:-1], np.diff(at)
+    h = np.full(len(n), FNV_BASIS, np.uint32)
+    rows, k = np.flatnonzero(n), 0
+    while len(rows) > FEW_TEXTS:
+        h[rows] = (h[rows] ^ data[start[rows] + k]) * np.uint32(FNV_PRIME)
+        k += 1
+        rows = rows[n[rows] > k]
+    for i in rows.tolist():
+        x = int(h[i])
+        for b in data[start[i] + k : start[i] + n[i]].tobytes():
+            x = (x ^ b) * FNV_PRIME & MASK
+        h[i] = x
+    return pa.array(h.astype(np.int64))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x ^ (x >> np.uint32(16))
+    for times in MIX:
+        x = x * np.uint32(times)
+        x ^= x >> np.uint32(15)
+    return x
+
+
+@F.arrow_udf(T.LongType())
+def u64_of(x: pa.Array) -> pa.Array:
+    """u64() of whole columns. Lambdas can't hold it."""
+    y = pc.fill_null(x, 0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    low, high = _mixed(y.astype(np.uint32)), _mixed((y >> np.uint64(32)).astype(np.uint32))
+    spread = low + np.uint32(0x9E3779B9) + (high << np.uint32(6)) + (high >> np.uint32(2))
+    return pa.array((high ^ spread).astype(np.int64), mask=np.asarray(x.is_null()))
+
+
 def _let(x: Column, f) -> Column:
     """f of x, which is evaluated once: an expression that repeats its argument doubles with every step."""
     return F.get(F.transform(F.array(x), f), F.lit(0))
