@@ -13,10 +13,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from symlattice.session import checkpoint
+from symlattice.session import checkpoint, free
 
 #: Kinds whose nodes are comparable only under one name.
 NAMED = ("primitive", "struct_union", "enumeration")
@@ -105,20 +105,87 @@ class Comparison:
         return nodes, links.select(pair("a", "b").alias("src"), F.concat_ws("/", "label", "key").alias("key"), "dst")
 
 
-def colours(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, colour): classes of nodes that no sequence of edges tells apart, by refinement until the number of classes stands still."""
-    base = checkpoint(nodes.select("id", F.sha2(F.to_json(F.struct("kind", "local")), 256).alias("base")))
-    edges = checkpoint(edges.select("src", "label", "key", "dst"))
-    now = checkpoint(base.withColumnRenamed("base", "colour"))
+#: Parts of a hash that add up over edges: halves of 128 bits, so that sums are free of order and don't overflow below 2**31 edges.
+HALVES = tuple(f"h{i}" for i in range(4))
+
+
+def _halves(*columns: str) -> list[Column]:
+    hashes = [F.xxhash64(F.lit(k), *columns, F.lit(k)) for k in (0, 1)]
+    return [h.alias(name) for name, h in zip(HALVES, (y for x in hashes for y in (F.shiftrightunsigned(x, 32), x.bitwiseAND(F.lit(0xFFFFFFFF)))), strict=True)]
+
+
+def _colour(*columns: str) -> Column:
+    """128 bits of columns as two longs: a quarter of what a digest takes as text."""
+    return F.struct(F.xxhash64(F.lit(0), *columns).alias("x"), F.xxhash64(F.lit(1), *columns, F.lit(1)).alias("y")).alias("colour")
+
+
+def colours(nodes: DataFrame, edges: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, colour, and the columns to keep): classes of nodes that no sequence of edges tells apart.
+
+    A colour is made of a node's own columns and of its edges with the colours
+    that they lead to. Nodes all of whose ends have their colour get theirs for
+    good, level by level, so that every edge is joined once; edges lie in folders
+    by the kind of their end, and a round reads those of the kinds that just got
+    colours. What reaches a cycle is left and refined in rounds, until the number
+    of its classes stands still: it is in no class with the rest, which ends.
+    """
+    base = nodes.select("id", "kind", *(c for c in keep if c != "kind"), _colour("kind", "local", F.isnull("kind"), F.isnull("local")).alias("own"))
+    base = checkpoint(base)
+    ends = edges.select("src", "label", "key", "dst").join(base.select(F.col("id").alias("dst"), F.concat(F.lit("of "), F.coalesce("kind", F.lit(""))).alias("of")), "dst")
+    links = ends.select(F.col("src").alias("id"), F.xxhash64("label", "key", F.isnull("label"), F.isnull("key")).alias("edge"), "dst", "of")
+    # rows without an edge are nodes without one
+    links = base.join(links, "id", "left").withColumn("n", F.count("dst").over(Window.partitionBy("id"))).withColumn("of", F.coalesce("of", F.lit("leaf")))
+    own = [c for c in base.columns if c != "id"]
+    links = checkpoint(links.select("id", *own, "n", "edge", "dst", "of"), ["of"])
+    total = base.count()
+    free(base)
+    out = ["id", *dict.fromkeys(["kind", *keep])]
+    made = _colour("own.x", "own.y", "n", *HALVES)
+    done = [checkpoint(links.filter("of = 'leaf'").select("*", *(F.lit(0).cast("long").alias(h) for h in HALVES)).select(*out, made))]
+    settled, waiting = done[0].count(), None
+    carried = ["id", *own, "n"]
+    sums = [F.sum(h).alias(h) for h in HALVES]
+    kinds = lambda df: [f"of {r[0] or ''}" for r in df.select("kind").distinct().collect()]  # noqa: E731  a handful
+    while new := kinds(done[-1]):
+        met = links.filter(F.col("of").isin(new)).join(done[-1].select(F.col("id").alias("dst"), "colour"), "dst")
+        met = met.select(*carried, F.lit(1).cast("long").alias("met"), *_halves("edge", "colour.x", "colour.y"))
+        # a node with a single edge needs no others: no shuffle
+        single, many = met.filter("n = 1"), met.filter("n > 1")
+        if waiting is not None:
+            many = many.unionByName(waiting)
+        grouped = checkpoint(single.unionByName(many.groupBy(*carried).agg(F.sum("met").alias("met"), *sums)))
+        done.append(checkpoint(grouped.filter("met = n").select(*out, made)))
+        settled += done[-1].count()
+        if waiting is not None:
+            free(held)
+        held, waiting = grouped, grouped.filter("met < n")
+    found = union(done)
+    if settled < total:
+        found = found.unionByName(_refined(links, found, waiting, out, carried))
+    if waiting is not None:
+        free(held)
+    free(links)
+    return found.select("id", "colour", *keep)
+
+
+def _refined(links: DataFrame, found: DataFrame, waiting: DataFrame | None, out: list[str], carried: list[str]) -> DataFrame:
+    """Colours of the nodes that found lacks: refinement among them until the number of classes stands still."""
+    left = links.join(found.select("id"), "id", "left_anti")
+    edges = checkpoint(left.select("id", "edge", "dst").join(found.select(F.col("id").alias("dst")), "dst", "left_anti"))
+    first = left.select(*carried).distinct()
+    # what settled nodes gave is a part of what a node is by itself
+    given = F.struct(*(F.coalesce(h, F.lit(0).cast("long")).alias(h) for h in HALVES)).alias("given")
+    first = (first.join(waiting.select("id", *HALVES), "id", "left") if waiting is not None else first.select("*", *(F.lit(0).cast("long").alias(h) for h in HALVES))).select(*carried, given)
+    first = checkpoint(first.select(*out, _colour("own.x", "own.y", "n", *(f"given.{h}" for h in HALVES)).alias("own")))
+    now = checkpoint(first.select(*out, F.col("own").alias("colour")))
     classes = now.select("colour").distinct().count()
     while True:
-        ends = edges.join(now.select(F.col("id").alias("dst"), "colour"), "dst").select("src", F.to_json(F.struct("label", "key", "colour")).alias("edge"))
-        # sums of halves of two hashes: free of order, partial aggregates, and no overflow below 2**31 edges
-        halves = [h for k in (0, 1) for x in [F.xxhash64(F.lit(k), "edge", F.lit(k))] for h in (F.shiftrightunsigned(x, 32), x.bitwiseAND(F.lit(0xFFFFFFFF)))]
-        below = ends.groupBy("src").agg(F.count("*").alias("n"), *(F.sum(h).alias(f"h{i}") for i, h in enumerate(halves)))
-        new = base.join(below, base["id"] == below["src"], "left").select("id", F.sha2(F.concat_ws("/", "base", "n", *(f"h{i}" for i in range(4))), 256).alias("colour"))
-        now = checkpoint(new)
-        found = now.select("colour").distinct().count()
-        if found == classes:
+        ends = edges.join(now.select(F.col("id").alias("dst"), "colour"), "dst").select("id", *_halves("edge", "colour.x", "colour.y"))
+        below = ends.groupBy("id").agg(*(F.sum(h).alias(h) for h in HALVES))
+        before, now = now, checkpoint(first.join(below, "id", "left").select(*out, _colour("own.x", "own.y", *(F.coalesce(h, F.lit(0).cast("long")) for h in HALVES))))
+        free(before)
+        count = now.select("colour").distinct().count()
+        if count == classes:
+            free(edges, first)
             return now
-        classes = found
+        classes = count

@@ -339,7 +339,7 @@ def version_classes(spark, sf_dir):
     """Colour classes over all nodes of both versions, by kind: how many each version has and shares; the interface kind compares the roots."""
     a, b = both(spark, sf_dir)
     nodes = a.nodes().withColumn("v", F.lit(0)).unionByName(b.nodes().withColumn("v", F.lit(1)))
-    found = nodes.select("id", "kind", "v").join(colours(nodes, a.edges().unionByName(b.edges())), "id")
+    found = colours(nodes, a.edges().unionByName(b.edges()), ("kind", "v"))
     one = found.groupBy("kind", "colour").agg(F.min("v").alias("first"), F.max("v").alias("last"), F.count("*").alias("nodes"))
     count = lambda c: F.count(F.when(c, 1))
     return one.groupBy("kind").agg(F.sum("nodes").alias("nodes"), count(F.col("first") == 0).alias("before"), count(F.col("last") == 1).alias("after"), count(F.col("first") < F.col("last")).alias("shared"))

@@ -99,3 +99,31 @@ def test_sorts_of_a_kind(spark, old, new, kind, below):
     c = Comparison((a[0], b[0]), (a[1], b[1]), (0, 10))
     assert {tuple(r) for r in c.pairs.collect()} == {(0, 10), (1, 11)} | ({(2, 12)} if below else set())
     assert {tuple(r) for r in c.unequal().collect()} == (set() if old == new else {(0, 10), (1, 11)})
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_colours_of_cycles_and_ends(spark, seed):
+    """Classes of random graphs, of what ends and what reaches a cycle, against plain refinement; edges to unknown nodes count for nothing."""
+    rng = random.Random(seed)
+    nodes = [(i, rng.choice("kq"), "", rng.choice("xxxy")) for i in range(40)]
+    edges = [(i, rng.choice("ab"), rng.choice("12"), rng.randrange(i) if i < 28 else rng.randrange(40)) for i in range(1, 40) for _ in range(rng.randint(0, 3))] + [(1, "a", "1", 99), (30, "b", "1", 31), (31, "b", "1", 30)]
+    now, n = {i: (k, x) for i, k, _, x in nodes}, 0
+    while len(set(now.values())) > n:
+        n = len(set(now.values()))
+        number = {c: i for i, c in enumerate(sorted(set(now.values()), key=repr))}
+        now = {i: (k, x, tuple(sorted((a, b, number[now[d]]) for s, a, b, d in edges if s == i and d in now))) for i, k, _, x in nodes}
+    found = {r["id"]: r["colour"] for r in colours(*graph(spark, nodes, edges), ("kind",)).collect()}
+    assert found.keys() == now.keys() and all((now[i] == now[j]) == (found[i] == found[j]) for i in now for j in now)
+
+
+def test_colours_free_their_tables(spark):
+    """Of the tables of a refinement only those that the result reads stay: a round's no longer."""
+    import os
+
+    from symlattice.session import shared_dir
+
+    at = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(at))
+    n, e = graph(spark, [(i, "k", "", "x" if i else "y") for i in range(12)], [(i, "a", "", (i + 1) % 12) for i in range(12)])
+    assert len({r["colour"] for r in colours(n, e).collect()}) == 12
+    assert len([t for t in set(os.listdir(at)) - before if t.startswith("tables-")]) <= 3
