@@ -127,3 +127,21 @@ def test_colours_free_their_tables(spark):
     n, e = graph(spark, [(i, "k", "", "x" if i else "y") for i in range(12)], [(i, "a", "", (i + 1) % 12) for i in range(12)])
     assert len({r["colour"] for r in colours(n, e).collect()}) == 12
     assert len([t for t in set(os.listdir(at)) - before if t.startswith("tables-")]) <= 3
+
+
+def test_levels_lie_by_kind(spark):
+    """Edges, pairs and matched edges lie in folders by kind, a comparison's own tables go, and ends that no node table has are never a difference by themselves."""
+    import os
+
+    from symlattice.session import shared_dir
+
+    at = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(at))
+    nodes = lambda at: [(at, "interface", "", "{}"), (at + 1, "typedef", "t", "t"), (at + 2, "member", "m", "{}")]
+    a, b = graph(spark, nodes(0), [(0, "x", "", 1), (1, "x", "", 2), (2, "x", "", 5)]), graph(spark, nodes(10), [(10, "x", "", 11), (11, "x", "", 12), (12, "x", "", 15), (11, "y", "", 12)])
+    c = Comparison((a[0], b[0]), (a[1], b[1]), (0, 10))
+    left = [t for t in set(os.listdir(at)) - before if t.startswith("tables-")]
+    assert len(left) == 9 and any(f.startswith("of=of") for t in left for f in os.listdir(f"{at}/{t}"))
+    assert {tuple(r) for r in c.unequal_of().collect()} == {(0, 10, "of interface"), (1, 11, "of typedef")}
+    d = Comparison((a[0], a[0]), (a[1], a[1]), (0, 1))
+    assert {tuple(r) for r in d.unequal().collect()} == {(0, 1)} and d.outcomes().count() == 0
